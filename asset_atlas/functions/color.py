@@ -157,9 +157,20 @@ def _wheel(h: str, n: int) -> str:
 
 
 def _hsl(a: str, b: str, c: str) -> str:
-    hsl = f"struct({_degrees(a)} as h, {_number(b)} / 100 as s, {_number(c)} / 100 as l)"
-    channels = [f"(v.l - v.s * least(v.l, 1 - v.l) * {_wheel('v.h', n)})" for n in (0, 8, 4)]
-    return sql_let("v", hsl, _channels(*channels))
+    """Strongest, weakest and middle channel, dealt out by the sixth of the hue circle."""
+    hsl = f"struct(pmod({_degrees(a)}, 360D) as h, {_number(b)} / 100 as s, {_number(c)} / 100 as l)"
+    top = "v.l + v.s * if(v.l < 0.5D, v.l, 1 - v.l)"
+    parts = (
+        f"struct(cast(floor(v.h / 60) as int) as k, {top} as hi, 2 * v.l - ({top}) as lo, "
+        f"({top}) - (({top}) - v.l) * 2 * abs(pmod(v.h / 60, 2D) - 1) as mid)"
+    )
+    deal = {"r": "hmllmh", "g": "mhhmll", "b": "llmhhm"}
+    field = {"h": "w.hi", "m": "w.mid", "l": "w.lo"}
+    channels = [
+        f"element_at(array({', '.join(field[x] for x in order)}), w.k + 1)"
+        for order in deal.values()
+    ]
+    return sql_let("v", hsl, sql_let("w", parts, _channels(*channels)))
 
 
 def _hwb(a: str, b: str, c: str) -> str:
