@@ -423,13 +423,13 @@ def _proposals(spark, d):
     "rename_check",
     with_views(
         ASSETS_PART,
-        body="""SELECT asset_id, CASE asset_id % 8 WHEN 0 THEN 'SAME_NAME' WHEN 1 THEN concat_ws(',',
-        CASE WHEN upper(name) = name THEN 'SAME_NAME' END, CASE WHEN upper(name) <> name THEN 'CASE_ONLY' END)
-        WHEN 2 THEN '' WHEN 3 THEN 'PATH_SEPARATOR' WHEN 4 THEN 'EXTENSION_CHANGED' WHEN 5 THEN concat_ws(',',
+        body="""SELECT asset_id, CASE asset_id % 8 WHEN 0 THEN 'SAME_NAME' || CASE WHEN twins > 1 THEN ',TARGET_EXISTS_DB' ELSE '' END WHEN 1 THEN concat_ws(',',
+        CASE WHEN upper(name) = name THEN 'SAME_NAME' END, CASE WHEN upper(name) <> name THEN 'CASE_ONLY_APFS' END)
+        WHEN 2 THEN '' WHEN 3 THEN 'ILLEGAL_CHAR' WHEN 4 THEN 'EXTENSION_CHANGED' WHEN 5 THEN concat_ws(',',
         'RESERVED_NAME', CASE WHEN ext <> 'svg' THEN 'EXTENSION_CHANGED' END)
-        WHEN 6 THEN 'EMPTY_NAME' ELSE 'PATH_SEPARATOR,TRAVERSAL' END AS conflicts,
+        WHEN 6 THEN 'EMPTY_NAME' ELSE 'ILLEGAL_CHAR,TRAVERSAL' END AS conflicts,
         CASE asset_id % 8 WHEN 2 THEN 'CONTAINS_SPACE,UPPERCASE,MIXED_SEPARATORS' ELSE '' END AS tips
-        FROM assets_part""",
+        FROM (SELECT *, count(*) OVER (PARTITION BY rel_path) AS twins FROM assets_part)""",
     ),
 )
 def rename_check(spark, d):
@@ -444,19 +444,16 @@ def rename_check(spark, d):
 @query(
     "rename_target_taken",
     with_views(
-        ASSETS_PART,
-        body="""SELECT a.asset_id FROM assets_part a WHERE EXISTS (SELECT 1 FROM assets_part b WHERE b.dir = a.dir
-        AND b.name = replace(a.name, 'small-', 'large-') AND b.asset_id <> a.asset_id)
-        AND a.name <> replace(a.name, 'small-', 'large-')""",
+        ASSETS_DOC,
+        body="""SELECT a.asset_id FROM assets_doc a JOIN assets_doc b ON b.dir = a.dir
+        AND b.asset_id = a.asset_id + 20""",
     ),
 )
 def rename_target_taken(spark, d):
-    a = assets_part(spark, d)
-    proposals = a.selectExpr("asset_id", "replace(name, 'small-', 'large-') as new_name")
+    a = assets_doc(spark, d)
+    proposals = a.selectExpr("asset_id", "concat('doc-', asset_id + 20, '.', ext) as new_name")
     found = R.rename_check(proposals, a)
-    return found.filter("array_contains(conflicts, 'TARGET_EXISTS_DB') and not array_contains(conflicts, 'SAME_NAME')").select(
-        "asset_id"
-    )
+    return found.filter("array_contains(conflicts, 'TARGET_EXISTS_DB')").select("asset_id")
 
 
 ROOTS = "case when n_nationkey < 6 then element_at(array('economy', 'small', 'promo', 'large', 'medium', 'standard'), n_nationkey + 1) else concat('x', n_nationkey) end"

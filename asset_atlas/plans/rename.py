@@ -45,7 +45,7 @@ def rename_check(
 
     A target is taken when the catalogue holds another asset at that path in the same source.
     """
-    base = assets.select("source_id", "asset_id", "dir", "name", "ext", "rel_path", "abs_path")
+    base = assets.select("source_id", "asset_id", "dir", "name", "ext")
     rows = proposals.select("asset_id", trim_blanks(F.col("new_name")).alias("new_name")).join(
         base, "asset_id"
     )
@@ -66,7 +66,7 @@ def rename_check(
         F.array(
             code(~given, "EMPTY_NAME"),
             code(given & illegal, "ILLEGAL_CHAR"),
-            code(new.contains("/"), "PATH_SEPARATOR"),
+            code(new.contains("/"), "ILLEGAL_CHAR"),
             code(given & new.rlike(RESERVED), "RESERVED_NAME"),
             code(F.octet_length(new) > MAX_NAME_BYTES, "NAME_TOO_LONG"),
             code(
@@ -76,7 +76,7 @@ def rename_check(
             code(new == old, "SAME_NAME"),
             code(
                 F.lit(case_insensitive) & given & (new != old) & (F.lower(new) == F.lower(old)),
-                "CASE_ONLY",
+                "CASE_ONLY_APFS",
             ),
             code(F.col("new_rel_path").isNull() | (F.col("new_rel_path") == ""), "TRAVERSAL"),
         )
