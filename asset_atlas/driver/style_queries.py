@@ -194,19 +194,19 @@ TYPE_PARTS = " UNION ALL ".join(
     ]
 )
 HIT_COLUMNS = [
-    "rel_path", "line", "col", F.col("start_offset").cast("long").alias("start_offset"), "raw_token",
+    "rel_path", "line", "col", "cast(start_offset as bigint) as start_offset", "raw_token",
     "normalized_value", "context_kind", "context_detail",
 ]
 
 
 @query("color_extraction", with_views(CODE_CSS, body=HITS.format(axis="", parts=COLOR_PARTS)))
 def color_extraction(spark, d):
-    return extract_styles(code_css(spark, d), "color").select(*HIT_COLUMNS)
+    return extract_styles(code_css(spark, d), "color").selectExpr(*HIT_COLUMNS)
 
 
 @query("type_extraction", with_views(CODE_CSS, body=HITS.format(axis=", axis", parts=TYPE_PARTS)))
 def type_extraction(spark, d):
-    return extract_styles(code_css(spark, d), "type").select(*HIT_COLUMNS, "axis")
+    return extract_styles(code_css(spark, d), "type").selectExpr(*HIT_COLUMNS, "axis")
 
 
 SVG_TEXT = (
@@ -504,15 +504,13 @@ type_stats AS (SELECT axis, value, usage_count, file_count, spelling_count, spel
   FROM lit GROUP BY 1, 2) JOIN (SELECT axis, value, count(*) AS spelling_count,
   string_agg(raw_token || '=' || n, ';' ORDER BY n DESC, raw_token) AS spellings FROM raws GROUP BY 1, 2)
   USING (axis, value))"""
-SPELLINGS = F.array_join(
-    F.transform("spellings", lambda s: F.concat(s["raw"], F.lit("="), s["n"])), ";"
-)
+SPELLINGS = "array_join(transform(spellings, s -> concat(s.raw, '=', s.n)), ';') as spellings"
 
 
 @query("type_stats", with_views(STYLE_TYPE, TYPE_STATS, body="SELECT * FROM type_stats"))
 def type_stats(spark, d):
-    return (
-        I.type_stats(style_type(spark, d)).drop("source_id").withColumn("spellings", SPELLINGS)
+    return I.type_stats(style_type(spark, d)).selectExpr(
+        "axis", "value", "usage_count", "file_count", "spelling_count", SPELLINGS
     )
 
 
@@ -556,7 +554,7 @@ def type_scale(spark, d):
 )
 def mixed_spellings(spark, d):
     found = I.mixed_spellings(I.type_stats(style_type(spark, d)))
-    return found.select("axis", "value", "usage_count", SPELLINGS.alias("spellings"))
+    return found.selectExpr("axis", "value", "usage_count", SPELLINGS)
 
 
 @query(
