@@ -496,27 +496,24 @@ def name_tokens(spark, d):
 @query(
     "jaccard_pairs",
     with_views(
-        """words AS (SELECT p_brand AS id, list_sort(list_distinct(list(split_part(p_name, ' ', 2) ||
-        '-' || p_size))) AS w FROM part GROUP BY p_brand)""",
-        body="""SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) /
-        len(list_distinct(list_concat(a.w, b.w))), 6) AS score FROM words a JOIN words b
-        ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))
-        >= 0.1""",
+        """words AS (SELECT DISTINCT list_sort([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2),
+        lower(p_type) || 'x', 'b' || replace(p_brand, 'Brand#', '') || 'y']) AS w FROM part)""",
+        body="""SELECT array_to_string(a.w, ' ') AS a, array_to_string(b.w, ' ') AS b, round(s / (8 - s), 6) AS score
+        FROM (SELECT a.w AS aw, b.w AS bw, len(list_intersect(a.w, b.w)) AS s FROM words a JOIN words b ON a.w < b.w) p,
+        LATERAL (SELECT p.aw AS w) a, LATERAL (SELECT p.bw AS w) b WHERE s / (8 - s) >= 0.6""",
     ),
 )
 def jaccard_pairs(spark, d):
-    words = table(spark, d, "part").groupBy("p_brand").agg(
-        F.sort_array(
-            F.collect_set(F.concat_ws("-", F.split_part("p_name", F.lit(" "), F.lit(2)), "p_size"))
-        ).alias("tokens")
+    words = table(spark, d, "part").selectExpr(
+        "sort_array(array(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), "
+        "concat(lower(p_type), 'x'), concat('b', replace(p_brand, 'Brand#', ''), 'y'))) as tokens"
+    )
+    pairs = jaccard_join(words, words, 0.6, self_join=True).filter("tokens_a <> tokens_b")
+    return pairs.select(
+        F.array_join("tokens_a", " ").alias("a"),
+        F.array_join("tokens_b", " ").alias("b"),
+        F.round("score", 6).alias("score"),
     )
-    pairs = jaccard_join(words, words, 0.1, self_join=True)
-    left = words.select(F.col("p_brand").alias("x"), F.col("tokens").alias("tokens_a"))
-    right = words.select(F.col("p_brand").alias("y"), F.col("tokens").alias("tokens_b"))
-    both = pairs.join(left, "tokens_a").join(right, "tokens_b").filter("x <> y")
-    return both.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("score", 6).alias("score")
-    ).distinct()
 
 
 @query(

@@ -6,6 +6,8 @@ hundreds of Column calls. Arguments are SQL expressions, usually a column name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -317,11 +319,15 @@ def chroma_sql(color: str) -> str:
     return sql_let("v", _linear_rgb_sql(color), sql_let("w", lms, chroma))
 
 
-def delta_e_sql(p: str, q: str) -> str:
-    """CIEDE2000 between two Lab structs."""
+def delta_e_steps(p: str, q: str) -> list[dict[str, str]]:
+    """CIEDE2000 between two Lab structs, as rounds of named values ending in ``delta_e``.
+
+    Each round only uses names of the rounds before it.
+    """
 
     def tail(c: str) -> str:
-        return f"sqrt(pow({c}, 7D) / (pow({c}, 7D) + {25.0**7}D))"
+        seventh = " * ".join([c] * 7)
+        return f"sqrt({seventh} / ({seventh} + {25.0**7}D))"
 
     def hue(a: str, b: str) -> str:
         return f"if({a} = 0 and {b} = 0, 0D, pmod(degrees(atan2({b}, {a})), 360D))"
@@ -329,47 +335,56 @@ def delta_e_sql(p: str, q: str) -> str:
     def cosd(deg: str) -> str:
         return f"cos(radians({deg}))"
 
-    labs = (
-        f"struct({p}.l as l1, {p}.a as a1, {p}.b as b1, {q}.l as l2, {q}.a as a2, {q}.b as b2, "
-        f"(hypot({p}.a, {p}.b) + hypot({q}.a, {q}.b)) / 2 as c)"
-    )
-    stretched = (
-        f"struct(x.l1, x.b1, x.l2, x.b2, x.a1 * (1.5D - 0.5D * {tail('x.c')}) as a1, "
-        f"x.a2 * (1.5D - 0.5D * {tail('x.c')}) as a2)"
-    )
-    polar = (
-        f"struct(y.l1, y.l2, hypot(y.a1, y.b1) as c1, hypot(y.a2, y.b2) as c2, "
-        f"{hue('y.a1', 'y.b1')} as h1, {hue('y.a2', 'y.b2')} as h2)"
-    )
-    gap, total = "(z.h2 - z.h1)", "(z.h1 + z.h2)"
-    turn = (
-        f"case when z.c1 * z.c2 = 0 then 0D when {gap} > 180 then {gap} - 360 "
-        f"when {gap} < -180 then {gap} + 360 else {gap} end"
-    )
-    mean_h = (
-        f"case when z.c1 * z.c2 = 0 then {total} when abs({gap}) <= 180 then {total} / 2 "
-        f"when {total} < 360 then ({total} + 360) / 2 else ({total} - 360) / 2 end"
-    )
-    deltas = (
-        f"struct(z.l2 - z.l1 as dl, z.c2 - z.c1 as dc, "
-        f"2 * sqrt(z.c1 * z.c2) * sin(radians(({turn}) / 2)) as dh, "
-        f"pow((z.l1 + z.l2) / 2 - 50, 2D) as ml, (z.c1 + z.c2) / 2 as mc, {mean_h} as mh)"
-    )
-    t = (
-        f"(1 - 0.17D * {cosd('d.mh - 30')} + 0.24D * {cosd('2 * d.mh')} "
-        f"+ 0.32D * {cosd('3 * d.mh + 6')} - 0.20D * {cosd('4 * d.mh - 63')})"
-    )
-    scaled = (
-        f"struct(d.dl / (1 + 0.015D * d.ml / sqrt(20 + d.ml)) as l, "
-        f"d.dc / (1 + 0.045D * d.mc) as c, d.dh / (1 + 0.015D * d.mc * {t}) as h, "
-        f"-2 * {tail('d.mc')} * sin(radians(60 * exp(-pow((d.mh - 275) / 25, 2D)))) as r)"
-    )
-    answer = "sqrt(greatest(e.l * e.l + e.c * e.c + e.h * e.h + e.r * e.c * e.h, 0D))"
-    for name, value in [
-        ("e", scaled), ("d", deltas), ("z", polar), ("y", stretched), ("x", labs)
-    ]:
-        answer = sql_let(name, value, answer)
-    return answer
+    return [
+        {"de_c": f"(hypot({p}.a, {p}.b) + hypot({q}.a, {q}.b)) / 2"},
+        {"de_g": f"1.5D - 0.5D * {tail('de_c')}"},
+        {"de_a1": f"{p}.a * de_g", "de_a2": f"{q}.a * de_g"},
+        {
+            "de_c1": f"hypot(de_a1, {p}.b)",
+            "de_c2": f"hypot(de_a2, {q}.b)",
+            "de_h1": hue("de_a1", f"{p}.b"),
+            "de_h2": hue("de_a2", f"{q}.b"),
+        },
+        {"de_gap": "de_h2 - de_h1", "de_sum": "de_h1 + de_h2", "de_grey": "de_c1 * de_c2 = 0"},
+        {
+            "de_turn": "case when de_grey then 0D when de_gap > 180 then de_gap - 360 "
+            "when de_gap < -180 then de_gap + 360 else de_gap end",
+            "de_mh": "case when de_grey then de_sum when abs(de_gap) <= 180 then de_sum / 2 "
+            "when de_sum < 360 then (de_sum + 360) / 2 else (de_sum - 360) / 2 end",
+            "de_mc": "(de_c1 + de_c2) / 2",
+            "de_ml": f"(({p}.l + {q}.l) / 2 - 50) * (({p}.l + {q}.l) / 2 - 50)",
+        },
+        {
+            "de_t": f"1 - 0.17D * {cosd('de_mh - 30')} + 0.24D * {cosd('2 * de_mh')} "
+            f"+ 0.32D * {cosd('3 * de_mh + 6')} - 0.20D * {cosd('4 * de_mh - 63')}",
+            "de_x": f"({q}.l - {p}.l) / (1 + 0.015D * de_ml / sqrt(20 + de_ml))",
+            "de_y": "(de_c2 - de_c1) / (1 + 0.045D * de_mc)",
+            "de_r": f"-2 * {tail('de_mc')} * "
+            "sin(radians(60 * exp(-pow((de_mh - 275) / 25, 2D))))",
+        },
+        {
+            "de_z": "2 * sqrt(de_c1 * de_c2) * sin(radians(de_turn / 2)) "
+            "/ (1 + 0.015D * de_mc * de_t)"
+        },
+        {
+            "delta_e": "sqrt(greatest(de_x * de_x + de_y * de_y + de_z * de_z "
+            "+ de_r * de_y * de_z, 0D))"
+        },
+    ]
+
+
+def delta_e_sql(p: str, q: str) -> str:
+    """The same distance as one expression, for use on single pairs."""
+    answer = "s9.delta_e"
+    steps = delta_e_steps("s0.p", "s0.q")
+    for k in range(len(steps), 0, -1):
+        known = {name: i + 1 for i, step in enumerate(steps[: k - 1]) for name in step}
+        fields = []
+        for name, sql in steps[k - 1].items():
+            text = re.sub(r"\bde_\w+", lambda m, known=known: f"s{known[m[0]]}.{m[0]}", sql)
+            fields.append(f"{text} as {name}")
+        answer = sql_let(f"s{k}", f"struct({', '.join(fields)})", answer)
+    return sql_let("s0", f"struct({p} as p, {q} as q)", answer)
 
 
 def normalize_color(raw: str) -> Column:

@@ -13,6 +13,7 @@ from ..functions.color import NEAR_MISS, ciede2000, is_neutral
 from ..functions.fingerprint import SVG_NEAR_MAX, is_degenerate_bits, phash_bits
 from ..functions.names import canonical_stem
 from ..functions.typography import first_family
+from ..session import cut
 from .graph import connected_components, distance_to, greedy_star, medoid
 from .simjoin import delta_e_pairs, hamming_self_join, range_pairs
 
@@ -75,7 +76,7 @@ def phash_clusters(assets: DataFrame, threshold: int = 12, bands: int | None = N
 
     Copies of one fingerprint are a single weighted node until the very last join.
     """
-    nodes = phash_nodes(assets)
+    nodes = cut(phash_nodes(assets))
     pairs = phash_edges(nodes, threshold, bands)
     ids = nodes.select("source_id", "ext", "bits", "node")
     edges = (
@@ -211,8 +212,8 @@ def color_clusters(
     counts: DataFrame, limit: float = NEAR_MISS, tail_rows: int | None = None
 ) -> DataFrame:
     """Greedy near-miss clusters of (source_id, value, n) colours around the most used ones."""
-    pairs = delta_e_pairs(counts.withColumnRenamed("value", "color"), ["source_id"], limit)
-    side = counts.select("source_id", "value", "n")
+    side = cut(counts.select("source_id", "value", "n"))
+    pairs = delta_e_pairs(side.withColumnRenamed("value", "color"), ["source_id"], limit)
     both = pairs.join(
         side.withColumnsRenamed({"value": "color_a", "n": "n_a"}), ["source_id", "color_a"]
     ).join(side.withColumnsRenamed({"value": "color_b", "n": "n_b"}), ["source_id", "color_b"])
@@ -233,7 +234,7 @@ def color_clusters(
 
 def size_clusters(counts: DataFrame, tail_rows: int | None = None) -> DataFrame:
     """Font sizes under 1px from a strictly more used size."""
-    sizes = (
+    sizes = cut(
         counts.filter("axis = 'size'")
         .withColumn("px", F.col("value").try_cast("double"))
         .filter(F.col("px").isNotNull())

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import NEAR_MISS, delta_e_lab, lab65
+from ..functions.color import NEAR_MISS, lab65
 from ..functions.names import percent_text
 from ..session import cut
 from .catalog import top_asset_dirs
-from .simjoin import MAX_LIGHTNESS_WEIGHT
+from .simjoin import MAX_LIGHTNESS_WEIGHT, with_delta_e
 
 # How strongly a context speaks for a brand colour.
 STRONG_PROPS = ["color", "background", "background-color", "fill", "accent-color"]
@@ -324,13 +324,9 @@ def one_offs(stats: DataFrame) -> DataFrame:
 
 
 def suggested_tokens(styles: DataFrame) -> DataFrame:
-    """Most referenced variable per colour; ties go to the first name, all of them are listed."""
-    table = var_table(styles)
-    top = Window.partitionBy("source_id", "color")
-    tied = table.withColumn("best", F.max("ref_count").over(top)).filter("ref_count = best")
-    return tied.groupBy("source_id", "color").agg(
-        F.min("var").alias("token"), F.count("*").alias("choices")
-    )
+    """Most referenced variable per colour; ties go to the first name."""
+    best = F.min_by("var", F.struct((-F.col("ref_count")).alias("r"), F.col("var")))
+    return var_table(styles).groupBy("source_id", "color").agg(best.alias("token"))
 
 
 def color_drift(clusters: DataFrame, styles: DataFrame) -> DataFrame:
@@ -343,7 +339,7 @@ def color_drift(clusters: DataFrame, styles: DataFrame) -> DataFrame:
         "suggested_token", F.coalesce("token", "canonical")
     )
     return _with_variants(
-        named.drop("token", "choices"), own, representative_locations(styles, "color")
+        named.drop("token"), own, representative_locations(styles, "color")
     )
 
 
@@ -395,8 +391,7 @@ def resolve_tokens(values: DataFrame, candidates: DataFrame, limit: float = NEAR
         cells = F.floor(F.col("l") / width).cast("long")
         wide = left.withColumn("cell", F.explode(F.sequence(cells - 4, cells + 4)))
         near = right.withColumn("cell", cells)
-        gap = delta_e_lab("a.lab", "b.lab")
-        best = (
+        pairs = (
             wide.alias("a")
             .join(
                 near.alias("b"),
@@ -404,11 +399,27 @@ def resolve_tokens(values: DataFrame, candidates: DataFrame, limit: float = NEAR
                 & (F.col("a.cell") == F.col("b.cell")),
             )
             .select(
-                F.col("a.source_id").alias("source_id"), "value", "color", "token", gap.alias("d")
+                F.col("a.source_id").alias("source_id"),
+                "value",
+                "color",
+                "token",
+                F.col("a.lab").alias("p"),
+                F.col("b.lab").alias("q"),
             )
-            .filter(F.col("d") < reach)
+        )
+        best = (
+            with_delta_e(pairs, reach, ["source_id", "value", "color", "token"])
             .groupBy("source_id", "value")
-            .agg(F.min(F.struct("d", F.col("token").isNull().alias("bare"), "color", "token")).alias("m"))
+            .agg(
+                F.min(
+                    F.struct(
+                        F.col("delta_e").alias("d"),
+                        F.col("token").isNull().alias("bare"),
+                        "color",
+                        "token",
+                    )
+                ).alias("m")
+            )
         )
         found = cut(best)
         parts.append(found)

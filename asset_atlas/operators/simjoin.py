@@ -13,8 +13,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import NEAR_MISS, delta_e_lab, lab65
+from ..functions.color import NEAR_MISS, delta_e_steps, lab65
 from ..functions.fingerprint import hamming_bits
+from ..functions.util import let
 
 ALL_BITS = 64
 # |dE| >= |dL| / S_L and S_L never exceeds 1.748
@@ -178,20 +179,29 @@ def jaccard_join(
     b = prefixes(b_sets, "b").withColumn(
         "part", F.pmod(F.xxhash64("tokens_b"), F.col("parts")).cast("int")
     )
-    shared = F.array_intersect("order_a", "order_b")
-    union = F.size("tokens_a") + F.size("tokens_b") - F.size(shared)
-    keep = (F.get(shared, F.lit(0)) == F.col("a.token")) & (
-        F.size(shared) / union >= F.lit(float(threshold))
+    sizes = F.size("tokens_a") + F.size("tokens_b")
+    t = F.lit(float(threshold))
+
+    def passes(shared: Column) -> Column:
+        """The token at hand is the rarest shared one, and enough is shared."""
+        score = F.size(shared) / (sizes - F.size(shared))
+        return (F.get(shared, F.lit(0)) == F.col("a.token")) & (score >= t)
+
+    keep = (
+        (F.size("tokens_a") >= F.size("tokens_b") * t - F.lit(1e-9))
+        & (F.size("tokens_b") >= F.size("tokens_a") * t - F.lit(1e-9))
+        & let(F.array_intersect("order_a", "order_b"), passes)
     )
     if self_join:
-        keep = keep & (F.col("tokens_a") <= F.col("tokens_b"))
+        keep = (F.col("tokens_a") <= F.col("tokens_b")) & keep
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return (
         a.alias("a")
         .join(
             b.alias("b"),
             (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & keep,
         )
-        .select("tokens_a", "tokens_b", (F.size(shared) / union).alias("score"))
+        .select("tokens_a", "tokens_b", (common / (sizes - common)).alias("score"))
     )
 
 
@@ -213,6 +223,21 @@ def bucket_pairs(
     return wide.alias("a").join(near.alias("b"), on & keep)
 
 
+def with_delta_e(pairs: DataFrame, limit: float, keep: list[str]) -> DataFrame:
+    """Rows of ``pairs`` whose structs ``p`` and ``q`` (Lab) differ by less than ``limit``.
+
+    The steps are separate columns, so the formula compiles to straight-line code. The limit is
+    applied by a generator, not a filter: a filter would be pushed down through the steps and
+    repeat them.
+    """
+    for step in delta_e_steps("p", "q"):
+        pairs = pairs.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return pairs.select(
+        *keep,
+        F.explode(F.when(F.col("delta_e") < limit, F.array("delta_e"))).alias("delta_e"),
+    )
+
+
 def delta_e_pairs(
     colors: DataFrame, block: list[str] | None = None, limit: float = NEAR_MISS
 ) -> DataFrame:
@@ -220,16 +245,20 @@ def delta_e_pairs(
     block = block or []
     lab = colors.select(*block, "color").distinct().withColumn("lab", lab65("color"))
     lab = lab.withColumn("lightness", F.col("lab.l"))
-    width = limit * MAX_LIGHTNESS_WEIGHT / 4
+    reach = limit * MAX_LIGHTNESS_WEIGHT
+    middle = (F.col("a.lightness") + F.col("b.lightness")) / 2 - 50
+    weight = 1 + 0.015 * middle * middle / F.sqrt(20 + middle * middle)
     close = (F.col("a.color") < F.col("b.color")) & (
-        delta_e_lab("a.lab", "b.lab") < limit
+        F.abs(F.col("a.lightness") - F.col("b.lightness")) < limit * weight + 1e-9
     )
-    return bucket_pairs(lab, "lightness", width, 4, block, close).select(
+    pairs = bucket_pairs(lab, "lightness", reach / 4, 4, block, close).select(
         *[F.col(f"a.{c}").alias(c) for c in block],
         F.col("a.color").alias("color_a"),
         F.col("b.color").alias("color_b"),
-        delta_e_lab("a.lab", "b.lab").alias("delta_e"),
+        F.col("a.lab").alias("p"),
+        F.col("b.lab").alias("q"),
     )
+    return with_delta_e(pairs, limit, [*block, "color_a", "color_b"])
 
 
 def range_pairs(

@@ -15,7 +15,7 @@ DEFAULT_CAP = 50
 def reference_hits(files: DataFrame) -> DataFrame:
     """Every image file name in ``files`` with line, column and comment flag. No shuffle."""
     usable = files.filter((F.length("text") > 0) & (F.length("text") <= MAX_FILE_CHARS))
-    lines = code_lines(usable, keep=lambda s: s.rlike(FILE_NAME))
+    lines = code_lines(usable, keep=FILE_NAME)
     hits = lines.withColumn("hit", F.explode(regex_hits("line", FILE_NAME)))
     return hits.select(
         "source_id",
