@@ -382,9 +382,9 @@ def resolve_tokens(values: DataFrame, candidates: DataFrame, limit: float = NEAR
     ones, so most values meet few candidates and all get their true nearest.
     """
     cand = candidates.select("source_id", "color", "token").distinct()
-    right = cand.withColumn("lab", lab65("color")).withColumn("l", F.col("lab.l"))
-    left = values.select("source_id", "value").distinct().withColumn("lab", lab65("value"))
-    left = left.withColumn("l", F.col("lab.l"))
+    right = cut(cand.withColumn("lab", lab65("color")).withColumn("l", F.col("lab.l")))
+    wanted = values.select("source_id", "value").distinct()
+    left = cut(wanted.withColumn("lab", lab65("value")).withColumn("l", F.col("lab.l")))
     parts = []
     for reach in (limit, limit * 4, limit * 16, limit * 64):
         width = min(reach * MAX_LIGHTNESS_WEIGHT, 100.0) / 4
@@ -423,7 +423,7 @@ def resolve_tokens(values: DataFrame, candidates: DataFrame, limit: float = NEAR
         )
         found = cut(best)
         parts.append(found)
-        left = left.join(found, ["source_id", "value"], "left_anti")
+        left = cut(left.join(found, ["source_id", "value"], "left_anti"))
         if left.isEmpty():
             break
     hit = reduce(DataFrame.unionByName, parts)

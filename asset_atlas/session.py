@@ -16,6 +16,8 @@ def build_session(app: str = "asset-atlas", cores: str = "*", shuffle_partitions
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # one partition per core already; merging small ones would leave cores idle
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )

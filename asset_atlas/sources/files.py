@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import content_hash, dhash, popcount, svg_stats
 from ..functions.names import IMAGE_EXTENSIONS, category, path_extension, stem
 from ..functions.util import basename, dirname
+from ..operators.incremental import dense_ids
+from ..operators.match import MAX_QUERY_BYTES
 from ..operators.styles import style_files
 from ..operators.text import MAX_FILE_CHARS
 
@@ -238,6 +240,12 @@ def build_assets(spark: SparkSession, root: str, source_id: int) -> DataFrame:
     )
 
 
+def query_signatures(spark: SparkSession, root: str, source_id: int) -> DataFrame:
+    """Features of incoming files, as queries against one source; oversized files are refused."""
+    signed = build_assets(spark, root, source_id).filter(F.col("size") <= MAX_QUERY_BYTES)
+    return dense_ids(signed, "abs_path", F.lit(0)).withColumnRenamed("asset_id", "query_id")
+
+
 def failures(assets: DataFrame) -> DataFrame:
     """One row per raster file that could not be decoded; the run itself goes on."""
     broken = (F.col("ext") != "svg") & F.col("width").isNull()

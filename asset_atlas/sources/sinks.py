@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +23,43 @@ def rebuild(rows: DataFrame, path: str, source_ids: list[int], kinds: list[str])
         .partitionBy("source_id", "kind")
         .parquet(path)
     )
-    filled = {
-        (r[0], r[1]) for r in rows.select("source_id", "kind").distinct().collect()
-    }
+    wanted = rows.filter(F.col("source_id").isin(source_ids) & F.col("kind").isin(kinds))
+    filled = {(r[0], r[1]) for r in wanted.select("source_id", "kind").distinct().collect()}
     for source in source_ids:
         for kind in kinds:
             if (source, kind) not in filled:
                 purge(spark, f"{path}/source_id={source}/kind={kind}")
 
 
+def run_stage(
+    spark: SparkSession,
+    stage: str,
+    build: Callable[[], DataFrame],
+    path: str,
+    source_ids: list[int],
+    kinds: list[str],
+) -> DataFrame:
+    """Rebuild partitions and report one (stage, ms, detail) row.
+
+    A stage that fails leaves its partitions empty rather than stale, and the run goes on.
+    """
+    start = time.monotonic()
+    try:
+        rebuild(build(), path, source_ids, kinds)
+        detail = "done"
+    except Exception as error:
+        for source in source_ids:
+            for kind in kinds:
+                purge(spark, f"{path}/source_id={source}/kind={kind}")
+        detail = f"FAILED: {str(error).splitlines()[0]}"
+    ms = int((time.monotonic() - start) * 1000)
+    return spark.createDataFrame([(stage, ms, detail)], "stage string, ms bigint, detail string")
+
+
+def append_metrics(record: DataFrame, path: str) -> None:
+    record.write.mode("append").parquet(path)
+
+
 def purge(spark: SparkSession, folder: str) -> None:
     """Drop one partition folder of a catalogue table."""
     jvm = spark.sparkContext._jvm

@@ -41,54 +41,72 @@ def arriving_assets(spark: SparkSession, root: str, source_id: int) -> DataFrame
     )
 
 
-def write_upsert(batch: DataFrame, table: str) -> None:
-    """Merge one batch into the table folder as its next version.
+def write_batch(batch: DataFrame, batch_id: int, table: str) -> None:
+    """Store one micro-batch under its own number; a replayed batch overwrites itself.
 
-    A version is complete before the pointer names it, so a replayed or interrupted batch never
-    reads half-written rows.
+    Ingest cost follows the batch. The catalogue itself is only rewritten by ``compact``.
     """
-    spark = batch.sparkSession
-    version = current_version(spark, table)
-    stored = (
-        read_table(spark, f"{table}/v{version}", ASSETS)
-        if version
-        else spark.createDataFrame([], ASSETS)
-    )
-    merged = upsert(stored, batch)
-    merged.write.mode("overwrite").partitionBy("source_id").parquet(f"{table}/v{version + 1}")
-    pointer = spark.range(1).select(F.lit(version + 1).alias("version"))
-    pointer.write.mode("append").json(f"{table}/versions")
-
-
-def current_version(spark: SparkSession, table: str) -> int:
-    found = read_versions(spark, table).agg(F.max("version")).first()[0]
-    return found or 0
-
-
-def read_versions(spark: SparkSession, table: str) -> DataFrame:
-    try:
-        return spark.read.schema("version int").json(f"{table}/versions")
-    except AnalysisException:
-        return spark.createDataFrame([], "version int")
-
-
-def read_assets(spark: SparkSession, table: str) -> DataFrame:
-    return read_table(spark, f"{table}/v{current_version(spark, table)}", ASSETS)
+    batch.write.mode("overwrite").parquet(f"{table}/log/batch={batch_id}")
 
 
 def start_ingest(
     spark: SparkSession, root: str, source_id: int, table: str, checkpoint: str
 ) -> StreamingQuery:
-    """Run the ingest until the files present now are indexed; restart it to pick up more."""
+    """Log the files present now and stop; restart it to pick up more."""
     return (
         arriving_assets(spark, root, source_id)
-        .writeStream.foreachBatch(lambda batch, _: write_upsert(batch, table))
+        .writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, table))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _state(spark: SparkSession, table: str) -> tuple[int, int]:
+    """(version, last batch in it) of the newest complete catalogue version."""
+    try:
+        rows = spark.read.schema("version int, batch int").json(f"{table}/versions")
+    except AnalysisException:
+        return 0, -1
+    newest = rows.orderBy(F.desc("version")).first()
+    return (newest["version"], newest["batch"]) if newest else (0, -1)
+
+
+def compact(spark: SparkSession, table: str) -> int:
+    """Fold the batches logged since the last version into a new one; returns its number.
+
+    The pointer is written after the version is complete, so readers never see half of it. Several
+    rows for one path keep the latest by file time.
+    """
+    version, last = _state(spark, table)
+    try:
+        log = spark.read.parquet(f"{table}/log")
+    except AnalysisException:
+        return version
+    fresh = log.filter(F.col("batch") > last)
+    top = fresh.agg(F.max("batch")).first()[0]
+    if top is None:
+        return version
+    stored = (
+        read_table(spark, f"{table}/v{version}", ASSETS)
+        if version
+        else spark.createDataFrame([], ASSETS)
+    )
+    merged = upsert(stored, fresh.drop("batch"))
+    merged.write.mode("overwrite").partitionBy("source_id").parquet(f"{table}/v{version + 1}")
+    pointer = spark.createDataFrame([(version + 1, top)], "version int, batch int")
+    pointer.write.mode("append").json(f"{table}/versions")
+    return version + 1
+
+
+def read_assets(spark: SparkSession, table: str) -> DataFrame:
+    """The newest complete version of the catalogue."""
+    version, _ = _state(spark, table)
+    if version == 0:
+        return spark.createDataFrame([], ASSETS)
+    return read_table(spark, f"{table}/v{version}", ASSETS)
+
+
 def duplicate_alerts(arriving: DataFrame, assets: DataFrame) -> DataFrame:
     """Arriving files whose content the catalogue already holds, as a stream-static join.
 

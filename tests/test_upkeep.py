@@ -19,7 +19,7 @@ from asset_atlas.plans import rename as R
 from asset_atlas.schemas import ASSETS, STYLE_USAGES
 from asset_atlas.sources import files as S
 from asset_atlas.sources import sinks
-from asset_atlas.streaming.ingest import read_assets, start_ingest
+from asset_atlas.streaming.ingest import compact, read_assets, start_ingest, write_batch
 
 
 def png(width, height, pixel):
@@ -124,17 +124,60 @@ def test_rebuild_purges_kinds_that_became_empty(spark, tmp_path):
     assert rows == {(1, "type", 9), (2, "color", 3)}
 
 
+def test_failed_stage_leaves_its_kind_empty(spark, tmp_path):
+    path, schema = str(tmp_path / "styles"), "source_id bigint, kind string, v int"
+    rows = spark.createDataFrame([(1, "color", 1), (1, "type", 2)], schema)
+    done = sinks.run_stage(spark, "all", lambda: rows, path, [1], ["color", "type"])
+
+    def broken():
+        raise ValueError("bad file")
+
+    failed = sinks.run_stage(spark, "color-extract", broken, path, [1], ["color"])
+    metrics = N.stage_metrics(done.unionByName(failed)).collect()
+    assert [(r["stage"], r["failed"]) for r in metrics] == [("all", False), ("color-extract", True)]
+    left = sinks.read_table(spark, path, schema).collect()
+    assert [(r["kind"], r["v"]) for r in left] == [("type", 2)]
+
+
+def test_query_signatures_against_the_catalogue(spark, repo, tmp_path):
+    from asset_atlas.operators.match import match
+
+    assets = N.upsert(spark.createDataFrame([], ASSETS), S.build_assets(spark, str(repo), 1))
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    (asked / "home-48.svg").write_bytes((repo / "icons" / "home-24.svg").read_bytes())
+    (asked / "huge.svg").write_text("<svg>" + " " * (2 * 1024 * 1024) + "</svg>")
+    queries = S.query_signatures(spark, str(asked), 1)
+    found = match(queries, assets).collect()
+    assert [(r["bucket"], r["score"]) for r in found] == [("exact", 1.0)]
+
+
 def test_streaming_ingest_is_incremental(spark, repo, tmp_path):
     table, state = str(tmp_path / "assets"), str(tmp_path / "state")
+    assert read_assets(spark, table).count() == 0 and compact(spark, table) == 0
     start_ingest(spark, str(repo), 1, table, state).awaitTermination()
+    assert compact(spark, table) == 1
     first = {r["rel_path"]: r["asset_id"] for r in read_assets(spark, table).collect()}
     assert len(first) == 5 and sorted(first.values()) == [1, 2, 3, 4, 5]
     (repo / "late.svg").write_text("<svg/>")
     start_ingest(spark, str(repo), 1, table, state).awaitTermination()
+    assert read_assets(spark, table).count() == 5
+    assert compact(spark, table) == 2 and compact(spark, table) == 2
     second = {r["rel_path"]: r["asset_id"] for r in read_assets(spark, table).collect()}
     assert second == {**first, "late.svg": 6}
 
 
+def test_replayed_batch_overwrites_itself(spark, tmp_path):
+    table = str(tmp_path / "assets")
+    schema = "source_id bigint, abs_path string, content_hash string, size bigint, mtime bigint"
+    rows = spark.createDataFrame([(1, "/a", "h", 1, 1), (1, "/a", "newer", 1, 2)], schema)
+    for _ in range(2):
+        write_batch(rows, 0, table)
+    compact(spark, table)
+    (row,) = read_assets(spark, table).collect()
+    assert (row["asset_id"], row["content_hash"]) == (1, "newer")
+
+
 def duplicates(spark):
     rows = [
         (1, 1, "b/x.svg", "b", "x.svg", "x", "svg", 10, "h"),
