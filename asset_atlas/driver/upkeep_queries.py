@@ -25,6 +25,7 @@ from .views import (
     assets_doc,
     assets_part,
     assets_vec,
+    one_source,
     table,
     usages_lab,
     usages_li,
@@ -485,7 +486,7 @@ def rename_warnings(spark, d):
 )
 def affected_usages(spark, d):
     usages = table(spark, d, "lineitem").selectExpr(
-        "l_partkey as asset_id", "1L as source_id",
+        one_source("l_partkey"), "l_partkey as asset_id",
         "concat(if(l_returnflag = 'A', '/elsewhere/', '/repo/'), l_orderkey) as abs_path",
     )
     sources = table(spark, d, "region").selectExpr(

@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_source(key: str) -> str:
+    """All rows belong to source 1, as a value of the row rather than a constant.
+
+    A constant would turn joins on the source into joins without a key.
+    """
+    return f"if({key} is null, 0L, 1L) as source_id"
+
+
 def by_file(lines: DataFrame, *key: str) -> DataFrame:
     """Spread lines by file over the session's shuffle partitions.
 
@@ -38,7 +46,7 @@ def _view(spark: SparkSession, sf_dir: str, name: str, *exprs: str) -> DataFrame
 def assets_doc(spark: SparkSession, d: str) -> DataFrame:
     return _view(
         spark, d, "documents",
-        "1L as source_id", "doc_id as asset_id", "concat(source, '/', lang) as dir",
+        one_source("doc_id"), "doc_id as asset_id", "concat(source, '/', lang) as dir",
         "concat('doc-', doc_id, '.', lang) as name", "concat('doc-', doc_id) as stem",
         "lang as ext", "concat(source, '/', lang, '/doc-', doc_id, '.', lang) as rel_path",
         "n_chars as size", "md5(text) as content_hash",
@@ -48,7 +56,7 @@ def assets_doc(spark: SparkSession, d: str) -> DataFrame:
 def usages_lab(spark: SparkSession, d: str) -> DataFrame:
     return _view(
         spark, d, "labels",
-        "doc_id as id", "doc_id as asset_id", "1L as source_id",
+        "doc_id as id", "doc_id as asset_id", one_source("doc_id"),
         "concat('review-', quality, '.md') as rel_path", "toxic + 1 as line",
         "quality = 0 as commented",
     )
@@ -74,7 +82,7 @@ def assets_part(spark: SparkSession, d: str) -> DataFrame:
     return (
         _view(
             spark, d, "part",
-            "1L as source_id", "p_partkey as asset_id",
+            one_source("p_partkey"), "p_partkey as asset_id",
             "concat(lower(p_type), '/', replace(p_brand, '#', '-'), '/', p_size) as dir",
             "concat(replace(p_name, ' ', '-'), '-', p_size) as stem", f"{PART_EXT} as ext",
             "cast(round(p_retailprice * 100) as bigint) as size",
@@ -91,7 +99,7 @@ def assets_part(spark: SparkSession, d: str) -> DataFrame:
 def usages_li(spark: SparkSession, d: str) -> DataFrame:
     return _view(
         spark, d, "lineitem",
-        "l_partkey as asset_id", "1L as source_id", "concat('order-', l_orderkey, '.html') as rel_path",
+        "l_partkey as asset_id", one_source("l_partkey"), "concat('order-', l_orderkey, '.html') as rel_path",
         "l_linenumber as line", "l_returnflag = 'R' as commented",
     )
 
@@ -114,7 +122,7 @@ def assets_vec(spark: SparkSession, d: str) -> DataFrame:
     return (
         _view(
             spark, d, "embeddings",
-            "1L as source_id", "vec_id as asset_id", "concat('l', label) as ext",
+            one_source("vec_id"), "vec_id as asset_id", "concat('l', label) as ext",
             "concat('kind', label, '-fam', substring(md5(cast(vec_id as string)), 1, 1), '-tint', "
             "substring(md5(cast(vec_id as string)), 2, 1)) as stem",
             "lower(lpad(hex(aggregate(embedding, 0L, (b, x) -> shiftleft(b, 1) | if(x > 0, 1L, 0L))), "
@@ -213,7 +221,7 @@ def _spark_sql(text: str) -> str:
 def style_color(spark: SparkSession, d: str) -> DataFrame:
     cols = [f"{_spark_sql(e)} as {c}" for c, e in STYLE_COLOR_COLUMNS.items()]
     return _view(
-        spark, d, "events", "1L as source_id", "'color' as kind", "cast(null as string) as axis",
+        spark, d, "events", one_source("event_id"), "'color' as kind", "cast(null as string) as axis",
         "cast(null as int) as col", "'x' as raw_token", *cols,
     ).withColumn("alpha", F.col("alpha").cast("double"))
 
@@ -221,7 +229,7 @@ def style_color(spark: SparkSession, d: str) -> DataFrame:
 def style_type(spark: SparkSession, d: str) -> DataFrame:
     cols = [f"{_spark_sql(e)} as {c}" for c, e in STYLE_TYPE_COLUMNS.items()]
     return _view(
-        spark, d, "events", "1L as source_id", "'type' as kind", "cast(null as double) as alpha",
+        spark, d, "events", one_source("event_id"), "'type' as kind", "cast(null as double) as alpha",
         "cast(null as int) as col", "cast(null as string) as context_detail", *cols,
     )
 
