@@ -1,8 +1,8 @@
-"""Session helpers shared by every operator that needs lineage cuts."""
+"""Session helpers shared by every operator that needs lineage cuts or written tables."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +26,52 @@ def build_session(app: str = "asset-atlas", cores: str = "*", shuffle_partitions
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors reach: the one the cluster names, else one beside the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Fresh path for a written intermediate table."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lineage cut that outlives executors."""
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    writer = df.write
+    if partition:
+        writer = writer.partitionBy(*partition)
+    writer.parquet(folder)
+    back = spark.read.schema(df.schema).parquet(folder)
+    back._stored_at = folder
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``stored`` once nothing will read it again."""
+    drop_folder(df.sparkSession, df._stored_at)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now instead of at its next collection."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; invent one only for a local master."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="asset-atlas-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
