@@ -165,10 +165,11 @@ def digest(spans: Column, kinds: list[Kind] = KINDS) -> Column:
 def redact_counts(found: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
     """Counts per kind and the digests of ``find_spans``' result."""
     spans = F.col("found")
-    counts = [
-        F.size(F.filter(spans, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}")
-        for i, k in enumerate(kinds)
-    ]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+    counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(kinds)]
     n_base = sum(k.base for k in kinds)
     base = F.filter(spans, lambda s: s["kind"] < n_base)
     scores = F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",")
