@@ -46,10 +46,10 @@ BASE = [
 #: shape rules on top of the floor
 TABLE = [
     Rule("word_length", "mean_word_chars", low=2.0, high=15.0),
-    Rule("symbols", "symbol_ratio", high=0.5),
+    Rule("symbols", "symbol_ratio", high=0.2),
     Rule("stop_words", "stop_ratio", low=0.02),
     Rule("shouting", "upper_ratio", high=0.5),
-    Rule("same_lines", "dup_line_ratio", high=0.3),
+    Rule("same_lines", "dup_line_ratio", high=0.4),
 ]
 
 SYMBOLS = "#*$%&|<>"
