@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, pii, rules
+from . import langid, lines, mixing, pii, quality, rules
 from .queries_sql import ORACLES  # noqa: F401
-from .rows import documents
+from .rows import documents, id_fold
 
 
 def op2_pii(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text", "n_chars")
+    model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    return quality.score(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        (id_fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.judge(documents(spark, d).select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -38,4 +49,14 @@ def op6_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op2_pii, op3_mixing, op5_rules, op6_lines)}
+def op8_langid(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.train(docs), keep=["doc_id"]).select(
+        "doc_id",
+        (id_fold(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT).alias("held_out"),
+        F.col("_lang").alias("lang_pred"),
+        F.col("_score").alias("score"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op8_langid)}
