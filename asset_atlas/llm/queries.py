@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, pii, quality, rules
+from . import decontam, langid, lines, mixing, near, pii, quality, rules
 from .queries_sql import ORACLES  # noqa: F401
 from .rows import documents, id_fold
 
@@ -59,4 +59,14 @@ def op8_langid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op8_langid)}
+def op7_near(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    return near.classes(docs).select(F.col("_doc").alias("doc_id"), "class_id", "class_rows")
+
+
+def op9_decontam(spark: SparkSession, d: str) -> DataFrame:
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    return decontam.matches(documents(spark, d).select("doc_id", "text"), items)
+
+
+QUERIES = {q.__name__: q for q in (op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam)}

@@ -145,13 +145,13 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         ok = pos + k < last
         at = pos[ok]
-        h[at] = mix(h[at] * _U(_STEP) + w.hash[at + k])
+        h[at] = h[at] * _U(_STEP) + w.hash[at + k]
         reach[at] += 1
     first = np.cumsum(count) - count
     keep = reach == size
     short = np.flatnonzero((count > 0) & (count < size))
     keep[first[short]] = True
-    return w.doc[keep], h[keep]
+    return w.doc[keep], mix(h[keep])
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asset_atlas.llm import langid, lines, mixing
+from asset_atlas.llm import decontam, langid, lines, mixing, near
 from asset_atlas.llm.rows import documents
 from asset_atlas.session import stored
 
@@ -33,6 +33,16 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return cut.withColumns(whole).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near.keep_one(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents so that source, language and topic meet their target shares."""
     drawn = mixing.mix_sources(docs)
@@ -44,6 +54,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", languages),
     ("line_dedup", repeated_lines),
+    ("near_dedup", near_copies),
+    ("decontamination", benchmark_leaks),
     ("mixing", mixture),
 ]
 
