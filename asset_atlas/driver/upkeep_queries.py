@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from ..operators import incremental as N
 from ..operators.usages import backfill_abs_path, unused_assets
 from ..plans import actions as A
 from ..plans import rename as R
-from ..session import ensure_checkpoint_dir
+from ..session import new_folder
 from ..streaming.ingest import duplicate_alerts
 from .catalog_queries import HASH_DOC, HASH_PART, NAME_PART
 from .views import (
@@ -234,21 +233,18 @@ def usage_path_backfill(spark, d):
     "stream_duplicate_alerts",
     """SELECT 'd' || d.doc_id AS abs_path, k.first_path, k.copies FROM documents d JOIN (SELECT md5(text) AS h,
     min(source || '/' || lang || '/doc-' || doc_id || '.' || lang) AS first_path, count(*) AS copies FROM documents
-    WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) k ON md5(d.text) = k.h""",
+    GROUP BY 1) k ON md5(d.text) = k.h""",
 )
 def stream_duplicate_alerts(spark, d):
-    """Documents arrive as a stream and meet the labelled part of the catalogue."""
+    """Documents arrive as a stream and meet the whole catalogue."""
     docs = table(spark, d, "documents")
     arriving = (
         spark.readStream.schema(docs.schema)
         .parquet(f"{d}/documents*.parquet")
         .selectExpr("concat('d', doc_id) as abs_path", "md5(text) as content_hash")
     )
-    known = assets_doc(spark, d).join(
-        table(spark, d, "labels").selectExpr("doc_id as asset_id"), "asset_id", "left_semi"
-    )
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/alerts-{uuid.uuid4()}"
+    known = assets_doc(spark, d)
+    folder = new_folder(spark, "alerts")
     run = (
         duplicate_alerts(arriving, known)
         .select("abs_path", "first_path", "copies")

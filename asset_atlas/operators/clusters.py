@@ -208,9 +208,7 @@ def type_counts(style_usages: DataFrame) -> DataFrame:
     )
 
 
-def color_clusters(
-    counts: DataFrame, limit: float = NEAR_MISS, tail_rows: int | None = None
-) -> DataFrame:
+def color_clusters(counts: DataFrame, limit: float = NEAR_MISS) -> DataFrame:
     """Greedy near-miss clusters of (source_id, value, n) colours around the most used ones."""
     side = cut(counts.select("source_id", "value", "n"))
     pairs = delta_e_pairs(side.withColumnRenamed("value", "color"), ["source_id"], limit)
@@ -228,11 +226,11 @@ def color_clusters(
         .otherwise(F.struct((-F.col("n_b")).alias("r"), F.col("color_b").alias("v")))
         .alias("hi_rank"),
     )
-    stars = greedy_star(edges, ["source_id"], **({} if tail_rows is None else {"tail_rows": tail_rows}))
+    stars = greedy_star(edges, ["source_id"])
     return _style_members(stars, side, ciede2000("anchor", "variant"), "color", None, "deltaE")
 
 
-def size_clusters(counts: DataFrame, tail_rows: int | None = None) -> DataFrame:
+def size_clusters(counts: DataFrame) -> DataFrame:
     """Font sizes under 1px from a strictly more used size."""
     sizes = cut(
         counts.filter("axis = 'size'")
@@ -243,7 +241,7 @@ def size_clusters(counts: DataFrame, tail_rows: int | None = None) -> DataFrame:
     edges = range_pairs(sizes, ["source_id"]).withColumn(
         "hi_rank", F.struct((-F.col("hi_n")).alias("r"), F.col("hi_px").alias("v"))
     )
-    stars = greedy_star(edges, ["source_id"], **({} if tail_rows is None else {"tail_rows": tail_rows}))
+    stars = greedy_star(edges, ["source_id"])
     gap = F.round(F.abs(F.col("variant").cast("double") - F.col("anchor").cast("double")), 3)
     return _style_members(stars, sizes, gap, "type", "size", "px")
 

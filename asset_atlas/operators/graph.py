@@ -1,66 +1,36 @@
 """Iterative graph operators as DataFrame rounds.
 
-Each round is written to a reliable checkpoint, so a lost executor replays one round at most. Once
-the remaining edge list is small (its size is counted, not assumed) the last rounds run in a
-single grouped task instead of one Spark job per round; ``tail_rows=0`` turns that off.
+Each round is written to the shared folder, so a lost executor replays one round at most.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import hamming_bits
-from ..session import cut
+from ..session import discard, stored
 
-TAIL_ROWS = 200_000
 MAX_ROUNDS = 200
 
 
-def _label_small(edges: pd.DataFrame) -> pd.DataFrame:
-    """Smallest reachable node for every node of a small edge list."""
-    label = {n: n for n in pd.unique(edges[["u", "v"]].to_numpy().ravel())}
-    links: dict = {}
-    for u, v in zip(edges["u"], edges["v"], strict=True):
-        links.setdefault(u, []).append(v)
-        links.setdefault(v, []).append(u)
-    seen = set()
-    for start in sorted(label):
-        if start in seen:
-            continue
-        seen.add(start)
-        stack = [start]
-        while stack:
-            node = stack.pop()
-            label[node] = start
-            fresh = [n for n in links.get(node, []) if n not in seen]
-            seen.update(fresh)
-            stack.extend(fresh)
-    return pd.DataFrame({"node": list(label.keys()), "component": list(label.values())})
-
-
-def connected_components(edges: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every endpoint; component is the smallest node id in it.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Only minima are
     aggregated per node, never neighbour lists, so a hub costs no more than its edges.
     """
-    work = cut(
+    work = stored(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .filter("u <> v")
-        .distinct()
+        .distinct(),
+        "components",
     )
     before = None
     for _ in range(MAX_ROUNDS):
         state = work.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
-        if state["n"] <= tail_rows:
-            return (
-                work.groupBy(F.lit(0).alias("g"))
-                .applyInPandas(lambda pdf: _label_small(pdf), "node bigint, component bigint")
-            )
         if before == (state["n"], state["h"]):
             break
         before = (state["n"], state["h"])
@@ -82,7 +52,8 @@ def connected_components(edges: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFr
                 )
             ).alias("e")
         )
-        work = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
+        last, work = work, stored(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
+        discard(last)
     else:
         raise RuntimeError("components did not converge")
     stars = work.groupBy("u").agg(F.min("v").alias("component"))
@@ -127,23 +98,7 @@ def distance_to(member_bits: Column, centre_bits: Column) -> Column:
     return hamming_bits(member_bits, centre_bits).cast("int")
 
 
-def _anchors_small(edges: pd.DataFrame) -> list:
-    """Greedy anchors of a small directed edge list: a node no anchor points at."""
-    rank = dict(zip(edges["hi"], edges["hi_rank"], strict=True))
-    out: dict = {}
-    for hi, lo in zip(edges["hi"], edges["lo"], strict=True):
-        out.setdefault(hi, []).append(lo)
-    claimed: set = set()
-    anchors = []
-    for node in sorted(out, key=lambda n: rank[n]):
-        if node in claimed:
-            continue
-        anchors.append(node)
-        claimed.update(out[node])
-    return anchors
-
-
-def greedy_star(edges: DataFrame, block: list[str], tail_rows: int = TAIL_ROWS) -> DataFrame:
+def greedy_star(edges: DataFrame, block: list[str]) -> DataFrame:
     """Greedy star clustering: (``block``, anchor, variant) for every claimed node.
 
     ``edges``: ``block``, hi, lo, hi_rank (a sortable struct, smaller first). hi outranks lo.
@@ -151,43 +106,31 @@ def greedy_star(edges: DataFrame, block: list[str], tail_rows: int = TAIL_ROWS)
     an undecided better neighbour becomes an anchor and its worse neighbours drop out. Afterwards
     every variant goes to its best-ranked adjacent anchor over the full edge list.
     """
-    edges = cut(edges.select(*block, "hi", "lo", "hi_rank"))
-    spark = edges.sparkSession
-    key_type = edges.schema["hi"].dataType.simpleString()
-    fields = ", ".join(f"{edges.schema[c].name} {edges.schema[c].dataType.simpleString()}" for c in block)
-    anchor_schema = f"{fields}, hi {key_type}" if block else f"hi {key_type}"
-    anchors = spark.createDataFrame([], anchor_schema)
+    edges = stored(edges.select(*block, "hi", "lo", "hi_rank"), "star-edges")
+    anchors: DataFrame | None = None
     work = edges
     for _ in range(MAX_ROUNDS * 50):
-        left = work.count()
-        if left == 0:
-            break
-        if left <= tail_rows:
-
-            def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-                head = {c: pdf[c].iloc[0] for c in block}
-                return pd.DataFrame({**head, "hi": _anchors_small(pdf)})
-
-            rank_cols = [f"hi_rank.{f.name}" for f in edges.schema["hi_rank"].dataType.fields]
-            ranked = work.withColumn(
-                "hi_rank", F.dense_rank().over(Window.partitionBy(*block).orderBy(*rank_cols))
-            )
-            last = ranked.groupBy(*(block or [F.lit(0).alias("g")])).applyInPandas(
-                finish, anchor_schema
-            )
-            anchors = anchors.unionByName(last)
+        if work.isEmpty():
             break
         better = work.select(*block, F.col("lo").alias("hi")).distinct()
-        found = cut(
-            work.select(*block, "hi").distinct().join(better, [*block, "hi"], "left_anti")
+        found = stored(
+            work.select(*block, "hi").distinct().join(better, [*block, "hi"], "left_anti"), "star-anchors"
         )
-        anchors = anchors.unionByName(found)
+        # one table of anchors per round, so the plan does not grow with the rounds
+        anchors = found if anchors is None else stored(anchors.unionByName(found), "star-anchors")
         gone = work.join(found, [*block, "hi"], "left_semi").select(*block, "lo").distinct()
-        work = cut(
+        last, work = work, stored(
             work.join(gone, [*block, "lo"], "left_anti").join(
                 gone.withColumnRenamed("lo", "hi"), [*block, "hi"], "left_anti"
-            )
+            ),
+            "star-work",
         )
+        if last is not edges:
+            discard(last)
+    else:
+        raise RuntimeError("stars were not settled in the allowed rounds")
+    if anchors is None:
+        anchors = edges.select(*block, "hi")
     return (
         edges.join(anchors, [*block, "hi"], "left_semi")
         .groupBy(*block, "lo")
