@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, mixing, near, pii, quality, rules
+from . import decontam, langid, lines, lm, mixing, near, pii, quality, rules
 from .queries_sql import ORACLES  # noqa: F401
 from .rows import documents, id_fold
 
 
+def op1_lm(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score_texts(documents(spark, d).select("doc_id", "text"))
+
+
 def op2_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact_counts(pii.find_spans(documents(spark, d).select("doc_id", "text")))
 
@@ -69,4 +73,4 @@ def op9_decontam(spark: SparkSession, d: str) -> DataFrame:
     return decontam.matches(documents(spark, d).select("doc_id", "text"), items)
 
 
-QUERIES = {q.__name__: q for q in (op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam)}
+QUERIES = {q.__name__: q for q in (op1_lm, op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam)}
