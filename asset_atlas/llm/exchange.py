@@ -69,17 +69,21 @@ class Shard:
         self.place = np.empty(len(keys), dtype=np.int64)
         self.place[order] = np.cumsum(fresh) - 1
         self.values = values
-        self.totals = np.add.reduceat(values[:, order], self.first, axis=1)
+        self.totals = np.add.reduceat(values[:, order], self.first, axis=1, dtype=dtype)
 
-    def owner(self) -> np.ndarray:
-        """Marks, per entry sent, the first one of its key with a value above zero."""
+    def owner(self, has: np.ndarray) -> np.ndarray:
+        """Marks, per entry sent, the first of its key among the entries that ``has`` admits."""
         out = np.zeros(len(self.order), dtype=bool)
-        has = self.values[0][self.order] > 0
+        has = has[self.order]
         rank = np.cumsum(has)
         start = rank[self.first] - has[self.first]
         out[self.order] = has & (rank - start[self.place[self.order]] == 1)
         return out
 
+    def asked(self) -> np.ndarray:
+        """Marks the entries that a block asked for, as opposed to index entries."""
+        return np.repeat(np.asarray(self.blocks) != INDEX, np.diff(self.edge))
+
 
 def merge_index(dtype, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Grouped map that turns a shard's messages into one index row."""
@@ -94,16 +98,23 @@ def merge_index(dtype, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def sums(dtype, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Grouped map that answers every block with the totals of its keys."""
+def sums(dtype, width: int, owners: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Grouped map that answers every block with the totals of its keys.
+
+    With ``owners``, whole totals are doubled and one more marks the first block that asked.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = Shard(pdf, dtype, width)
+        own = s.owner(s.asked()) if owners else None
         rows = []
         for i, block in enumerate(s.blocks):
             if block != INDEX:
-                at = s.place[s.edge[i] : s.edge[i + 1]]
-                rows.append((s.kind, s.shard, block, pack(np.ascontiguousarray(s.totals[:, at])), None))
+                part = slice(s.edge[i], s.edge[i + 1])
+                totals = s.totals[:, s.place[part]]
+                if owners:
+                    totals = totals * dtype(2) + own[part].astype(dtype)
+                rows.append((s.kind, s.shard, block, pack(np.ascontiguousarray(totals)), None))
         return as_frame(rows, ["kind", "shard", "block", "body", "stats"])
 
     return run

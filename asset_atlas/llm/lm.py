@@ -128,7 +128,7 @@ def _count(k: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = exchange.Shard(pdf, np.uint64, 1)
-        total, own = s.totals[0], s.owner()
+        total, own = s.totals[0], s.owner(s.values[0] > 0)
         rows = []
         for i, block in enumerate(s.blocks):
             part = slice(s.edge[i], s.edge[i + 1])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, lm, mixing, near, pii, quality, rules
+from . import decontam, langid, lines, lm, mixing, near, pii, quality, rules, substrings
 from .queries_sql import ORACLES  # noqa: F401
 from .rows import documents, id_fold
 
@@ -73,4 +73,14 @@ def op9_decontam(spark: SparkSession, d: str) -> DataFrame:
     return decontam.matches(documents(spark, d).select("doc_id", "text"), items)
 
 
-QUERIES = {q.__name__: q for q in (op1_lm, op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam)}
+def op10_substrings(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, d).select("doc_id", "text"), keep=["doc_id"]).select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_lm, op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam, op10_substrings)}
