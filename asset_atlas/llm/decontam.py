@@ -12,7 +12,7 @@ Defined cases: null and empty texts match nothing; items without words match not
 words than a shingle are one shingle of all their words and match where those words stand; texts
 shorter than an item are one window; items that share an id or a text are reported one by one; a
 null id stays null; with no items nothing matches and all documents are clean; other columns pass
-through ``clean`` and are ignored by ``matches``.
+through ``clean``, those with a leading underscore are left out, and are ignored by ``matches``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import Chunk, chunks, mix, words
+from .rows import Chunk, carried, chunks, mix, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -254,6 +254,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", radius: int =
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", radius: int = RADIUS,
           least: float = SIMILARITY, block: int = BLOCK_ITEMS) -> DataFrame:
     """``docs`` without the rows that hold an item."""
+    docs = carried(docs)
     columns = docs.columns
     out = docs.withColumn("_text", F.col(text))
     for index in item_blocks(items, text, block):

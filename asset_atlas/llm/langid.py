@@ -7,7 +7,7 @@ Scoring reads every whole text inside an Arrow map, a few array passes for a bat
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text when
 no labelled row exists; a null id draws like an empty one; repeated rows score alike; ties go to the
-language first in order; other columns pass through, those named like the output excepted.
+language first in order; other columns pass through, those with a leading underscore are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import Chunk, chunks, id_fold, mix, pack, unpack
+from .rows import Chunk, carried, chunks, id_fold, mix, pack, unpack
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -174,7 +174,7 @@ def score_chunk(chunk: Chunk, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with ``_lang`` and ``_score``."""
-    keep = docs.columns if keep is None else keep
+    keep = carried(docs).columns if keep is None else keep
     names = np.array([*model.labels, UNKNOWN], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

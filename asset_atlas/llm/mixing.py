@@ -9,8 +9,8 @@ copies drawn has exactly that expectation, so the drawn tokens meet the targets
 Defined cases: null margin values form a value of their own (written as the empty string); a text
 without words weighs nothing and takes its cell's rate; cells without tokens have rate 0; targets
 of values that hold no tokens are left out and the others rescaled; a null id draws like the empty
-id; an empty table gives an empty result; other columns pass through, names beginning with an
-underscore excepted.
+id; an empty table gives an empty result; other columns pass through, those with a leading underscore
+are left out; a column ``topic`` is taken as the topic.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .rows import BLANKS, whole_text
+from .rows import BLANKS, carried, whole_text
 
 MARGINS = ["source", "lang", "topic"]
 SWEEPS = 8
@@ -52,9 +52,8 @@ def tempered_targets(cells: DataFrame, margin: str, temperature: float = TEMPERA
     """Default targets: each value's token share raised to ``temperature``, as shares of one."""
     sums = cells.groupBy(margin).agg(F.sum("_tokens").alias("t")).filter("t > 0")
     power = sums.select(margin, F.pow(F.col("t").cast("double"), F.lit(temperature)).alias("p"))
-    total = power.agg(F.sum("p").alias("all"))
-    # one row: the sum over the margin's values
-    return power.join(F.broadcast(total), F.lit(True)).select(margin, (F.col("p") / F.col("all")).alias("_target"))
+    total = power.agg(F.sum("p")).first()[0]
+    return power.select(margin, (F.col("p") / F.lit(total or 1.0)).alias("_target"))
 
 
 def fit(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
@@ -83,7 +82,7 @@ def mix_sources(docs: DataFrame, margins: list[str] | None = None, text: str = "
     ``share`` is the fraction of the corpus' tokens to draw; ``targets`` may name its own shares
     for any margin.
     """
-    margins = margins or MARGINS
+    margins, docs = margins or MARGINS, carried(docs)
     whole = whole_text(text)
     rows = docs.withColumns({"_n_words": n_words(whole), "_topic": topic_of(whole)})
     value = {m: F.coalesce(F.col("_topic" if m == "topic" and m not in docs.columns else m).cast("string"), F.lit(""))

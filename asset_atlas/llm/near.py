@@ -15,7 +15,7 @@ a set Jaccard of 0.8 or more; classes are the connected components of the links.
 Defined cases: null and empty texts have no shingle and stay alone; texts of one to four words are
 one shingle of all their words; rows with the same id and text count as one document; a null id is
 the smallest; a class is named by its smallest id; an empty table gives an empty result; other
-columns pass through ``keep_one``, names beginning with an underscore excepted.
+columns pass through ``keep_one``, those with a leading underscore are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import discard, release, stored
-from .rows import Chunk, chunks, mix, shingles, whole_text, words
+from .rows import Chunk, carried, chunks, mix, shingles, whole_text, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -265,6 +265,7 @@ def classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> D
 
 def keep_one(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class left."""
+    docs = carried(docs)
     doc, total = _row_key(text)
     heads = classes(docs, text, least).filter("is_head").select("_doc", "_sum").distinct()
     kept = docs.withColumns({"_doc": doc, "_sum": total}).join(heads, ["_doc", "_sum"], "left_semi")

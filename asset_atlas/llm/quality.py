@@ -7,7 +7,7 @@ every whole text in an Arrow map. The label, the language, the source and the id
 
 Defined cases: null text counts as empty and still gets a score from its structure; no labelled row
 gives score 0.5 to all; null labels are not learned; several labels of one id all count; repeated
-rows score alike; other columns pass through, those named like the output excepted.
+rows score alike; other columns pass through, those with a leading underscore are left out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import Chunk, chunks, id_fold, mix, pack, prefix_hash, range_hash, unpack, words
+from .rows import Chunk, carried, chunks, id_fold, mix, pack, prefix_hash, range_hash, unpack, words
 
 WORD_BUCKETS = 1 << 16
 BINS = 12
@@ -155,7 +155,7 @@ def _recorded(docs: DataFrame) -> F.Column:
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with ``_score``, the chance of a good label."""
-    keep = docs.columns if keep is None else keep
+    keep = carried(docs).columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

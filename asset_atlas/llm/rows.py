@@ -182,5 +182,10 @@ def unpack_sorted(body: bytes) -> np.ndarray:
     return np.cumsum(unpack(body, _U), dtype=_U)
 
 
+def carried(docs: DataFrame, *outputs: str) -> DataFrame:
+    """``docs`` without columns that clash: working names start with an underscore."""
+    return docs.drop(*[c for c in docs.columns if c.startswith("_") or c.lower() in outputs])
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

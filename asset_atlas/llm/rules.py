@@ -5,9 +5,9 @@ where the scan runs. Repeated word windows are found by sorting the row's window
 n log n in the text's length.
 
 Defined cases: null or empty text has no word and fails the length rule; a text of one or two words
-has no window; rows that repeat are judged alone; an empty table gives an empty result; columns
-beyond the text pass through ``measure`` and ``judge`` untouched unless they carry one of the
-measures' own names, which is an error.
+has no window; rows that repeat are judged alone; an empty table gives an empty result; other
+columns pass through; one with the name of a measure is replaced by it, one with a leading underscore
+is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import BLANKS, whole_text
+from .rows import BLANKS, carried, whole_text
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words",
+            "n_upper_words", "mean_word_chars", "symbol_ratio", "stop_ratio", "upper_ratio", "repeat_ratio",
+            "dup_line_ratio", "base_failed", "kept", "broken"]
 
 # fixed values: frequent function words, by language
 STOP_WORDS = [
@@ -96,8 +100,7 @@ def _covered(places: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the raw counts and ratios the rules look at."""
-    whole = whole_text(text)
-    solid = r"[^\x20\x09-\x0D]"
+    docs, whole = carried(docs, *MEASURES), whole_text(text)
     out = docs.withColumn("_words", _words(whole)).withColumn("_windows", _windows(F.col("_words")))
     out = out.withColumn(
         "_lines", F.filter(F.split(whole, "\n"), lambda line: F.trim(line, F.lit(BLANKS)) != "")

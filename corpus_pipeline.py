@@ -17,11 +17,16 @@ from asset_atlas.session import stored
 MIN_LANG_SCORE = 0.4
 
 
+def _same(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of ``docs``; those with a leading underscore are working names and go."""
+    return out.select(*[c for c in docs.columns if c in out.columns])
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those whose language stays in doubt."""
     scored = langid.predict(docs, langid.train(docs))
     sure = (F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= MIN_LANG_SCORE)
-    return scored.filter(sure).select(*docs.columns)
+    return _same(docs, scored.filter(sure))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +35,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     whole = {"text": F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         whole["n_chars"] = F.when(F.col("_n_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns(whole).select(*docs.columns)
+    return _same(docs, cut.withColumns(whole))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +51,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents so that source, language and topic meet their target shares."""
     drawn = mixing.mix_sources(docs)
+    kept = [c for c in docs.columns if c in drawn.columns and c.lower() not in ("topic", "rate", "copies")]
     return drawn.filter(F.col("_copies") > 0).select(
-        *docs.columns, F.col("_topic").alias("topic"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies")
+        *kept, F.col("_topic").alias("topic"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies")
     )
 
 
