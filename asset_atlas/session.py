@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "asset-atlas", cores: str = "*", shuffle_partitions: int = 8,
                   **conf: str) -> SparkSession:
@@ -44,7 +46,13 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     writer = df.write
     if partition:
         writer = writer.partitionBy(*partition)
-    writer.parquet(folder)
+    # the written table replaces the shuffles behind it, so their files go with the write
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(folder)
     back._stored_at = folder
     return back
@@ -60,14 +68,6 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now instead of at its next collection."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Lineage cut that is evaluated once: a table in the shared folder, safe from lost executors."""
     return stored(df, "cut")
