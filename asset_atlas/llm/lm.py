@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, stored
+from ..session import stored
 from . import exchange
 from .rows import chunks, id_fold, mix, pack, pack_sorted, unpack, unpack_sorted, words
 
 ORDER = 2
 KATZ_K = 5
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 
 _U = np.uint64
 END = mix(np.array([0xE0D], dtype=_U))[0]
@@ -95,7 +95,7 @@ class Block:
         self.sizes = np.asarray(row["sizes"], dtype=np.int64)
         self.held = np.asarray(row["held"], dtype=bool)
         vocabulary = unpack_sorted(row["words"])
-        ids = unpack(row["ids"], np.uint32).astype(np.int64)
+        ids = unpack(row["ids"], np.uint32).astype(np.int32)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~self.held, self.sizes)
         self.levels = [Level(vocabulary, ids, np.zeros(0, _U))]
@@ -107,7 +107,7 @@ class Block:
             context[self.first] = BEGIN[m]
             gram = mix(context * _U(0x9E3779B97F4A7C15) + word)
             keys, place = np.unique(gram, return_inverse=True)
-            self.levels.append(Level(keys, place, context))
+            self.levels.append(Level(keys, place.astype(np.int32), context))
 
 
 def _ask_counts(order: int, shards: int):
@@ -288,21 +288,18 @@ def _orders(counts: DataFrame, order: int, k: int) -> list[Order]:
 
 def score_texts(docs: DataFrame, text: str = "text", order: int = ORDER, k: int = KATZ_K) -> DataFrame:
     """Train on the rows outside the held-out fold, score all: one row per document."""
-    spark = docs.sparkSession
     source = docs.select(
         "doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("_held"), F.col(text).alias("_text"))
     blocks = stored(source.mapInArrow(_blocks, BLOCK), "lm-blocks")
     shards = exchange.shard_count(exchange.count_rows(blocks, "n"))
     asked = blocks.mapInPandas(_ask_counts(order, shards), exchange.MESSAGE)
     answers = stored(exchange.by_shard(asked, _count(k), exchange.ANSWER), "lm-counts", "kind")
-    release(spark)
     orders = _orders(answers, order, k)
     tables = answers.filter(F.col("block") != exchange.INDEX)
     for m in range(2, order + 1):
         asked = blocks.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(
             _ask_sums(m, orders, shards), exchange.MESSAGE)
         sums = stored(exchange.by_shard(asked, exchange.sums(np.float64, 2), exchange.ANSWER), "lm-backoff", "kind")
-        release(spark)
         tables = tables.unionByName(sums)
     fields = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
               "base_score double, score double")
