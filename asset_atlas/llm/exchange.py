@@ -26,7 +26,7 @@ INDEX = -1
 _U = np.uint64
 
 
-def shard_count(keys: int, per_shard: int = 2_000_000) -> int:
+def shard_count(keys: int, per_shard: int = 1_000_000) -> int:
     """Power of two that leaves a shard about ``per_shard`` keys."""
     return 1 << max(0, int(np.ceil(np.log2(max(keys, 1) / per_shard)))) if keys > per_shard else 1
 

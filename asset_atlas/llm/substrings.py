@@ -12,7 +12,7 @@ by a 64-bit hash of all its bytes.
 
 Defined cases: null and empty texts have no bytes; texts under 400 bytes keep all; a repeated row
 is another place of all its strings; ids may be null or repeat; an empty table gives an empty
-result; other columns pass through, names beginning with an underscore excepted.
+result; other columns pass through, those with a leading underscore are left out.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, release, stored
+from ..session import discard, stored
 from . import exchange
-from .rows import Chunk, chunks, mix, pack, prefix_hash, range_hash, unpack, whole_text
+from .rows import Chunk, carried, chunks, mix, pack, prefix_hash, range_hash, unpack, whole_text
 
 LENGTH = 400
 PREFIX = 128
@@ -346,7 +346,6 @@ def build_family(blocks: DataFrame, shards: int, batches: int = BATCHES, fan_in:
 
 def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """(_doc, _sum, _spans): byte spans of repeated strings, unmerged, of the texts that have some."""
-    spark = docs.sparkSession
     source = docs.select(*_row_key(text), F.col(text).alias("_text"))
     blocks = stored(source.mapInArrow(_sample(batches), BLOCK), "suffix-blocks")
     shards = exchange.shard_count(exchange.count_rows(blocks, "n"))
@@ -355,23 +354,28 @@ def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES,
     answers = family.answer(asked)
     marks = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_mark(LENGTH), MARKS)
     marks = stored(marks, "suffix-marks")
-    release(spark)
+    for used in (blocks, *family.live()):
+        discard(used)
     open_ = marks.filter(F.size("open") > 0).select("_doc", "_sum", "open")
     strings = stored(
         source.join(open_, ["_doc", "_sum"]).select("_doc", "_sum", "_text", "open").mapInArrow(_strings(LENGTH), STRING_BLOCK),
         "suffix-strings")
-    release(spark)
     shards = exchange.shard_count(exchange.count_rows(strings, "n"))
     asked = strings.mapInPandas(_ask_strings(shards), exchange.MESSAGE)
     answers = exchange.by_shard(asked, exchange.sums(np.uint32, 1), exchange.ANSWER)
     settled = strings.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_settle(LENGTH), SPANS)
     found = marks.filter(F.size("sure") > 0).select("_doc", "_sum", F.col("sure").alias("spans")).unionByName(settled)
-    return found.groupBy("_doc", "_sum").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    spans = found.groupBy("_doc", "_sum").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    spans = stored(spans, "suffix-spans")
+    for used in (marks, strings):
+        discard(used)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, batches: int = BATCHES,
                    fan_in: int = FAN_IN) -> DataFrame:
     """``keep`` columns (all by default) with ``_n_bytes``, ``_n_removed``, ``_n_spans`` and ``_kept`` bytes."""
+    docs = carried(docs)
     keep = docs.columns if keep is None else keep
     spans = repeated_spans(docs, text, batches, fan_in)
     doc, total = _row_key(text)
