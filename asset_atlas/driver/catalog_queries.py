@@ -362,7 +362,7 @@ def folder_subtree(spark, d):
     with_views(
         ASSETS_DOC,
         body="""SELECT asset_id, name, size FROM assets_doc WHERE dir = 'src1/en'
-        ORDER BY size DESC, name LIMIT 2000""",
+        ORDER BY size DESC, name""",
     ),
 )
 def folder_listing(spark, d):
@@ -375,7 +375,7 @@ def folder_listing(spark, d):
     "source_listing",
     with_views(
         ASSETS_PART,
-        body="SELECT asset_id, dir, name FROM assets_part ORDER BY dir, name, asset_id LIMIT 10000",
+        body="SELECT asset_id, dir, name FROM assets_part ORDER BY dir, name, asset_id",
     ),
 )
 def source_listing(spark, d):
@@ -639,7 +639,7 @@ def text_search(spark, d):
         ASSETS_DOC, USAGES_LAB,
         body="""SELECT asset_id, name FROM assets_doc WHERE (stem ILIKE '%7%' OR rel_path ILIKE '%7%')
         AND ext IN ('fr', 'en') AND asset_id NOT IN (SELECT asset_id FROM usages_lab)
-        ORDER BY dir, name, asset_id LIMIT 2000""",
+        ORDER BY dir, name, asset_id""",
     ),
 )
 def substring_search(spark, d):
@@ -649,6 +649,24 @@ def substring_search(spark, d):
     return found.select("asset_id", "name")
 
 
+@query(
+    "full_search",
+    with_views(
+        ASSETS_PART, USAGES_LI,
+        body="""SELECT asset_id, name FROM assets_part WHERE
+        len(list_filter(regexp_extract_all(lower(name || ' ' || stem || ' ' || rel_path), '[a-z0-9]+'),
+        lambda w: starts_with(w, 'brand'))) > 0 AND ext = (SELECT min(ext) FROM assets_part)
+        AND asset_id NOT IN (SELECT asset_id FROM usages_li)""",
+    ),
+)
+def full_search(spark, d):
+    """Terms, extension and use at once, over the whole catalogue."""
+    assets = assets_part(spark, d)
+    first = assets.agg(F.min("ext")).first()[0]
+    found = S.search(assets, "brand", exts=[first], usages=usages_li(spark, d), unused_only=True)
+    return found.select("asset_id", "name")
+
+
 @query(
     "fingerprint_entropy",
     with_views(

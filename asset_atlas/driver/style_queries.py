@@ -125,14 +125,13 @@ def references(spark, d):
     with_views(
         ASSETS_PART, CODE_HTML,
         """hits AS (SELECT name, 'order-' || l_orderkey || '.html' AS rel_path, line_no,
-        l_returnflag = 'R' AS commented, row_number() OVER (PARTITION BY name ORDER BY
-        '/repo/order-' || l_orderkey || '.html', line_no) AS seq FROM html_lines)""",
+        l_returnflag = 'R' AS commented FROM html_lines)""",
         body="""SELECT a.asset_id, h.rel_path, CAST(h.line_no AS INT) AS line, h.commented
-        FROM assets_part a JOIN hits h USING (name) WHERE seq <= 25""",
+        FROM assets_part a JOIN hits h USING (name)""",
     ),
 )
 def asset_usages(spark, d):
-    found = scan_usages(code_html(spark, d), assets_part(spark, d), cap=25)
+    found = scan_usages(code_html(spark, d), assets_part(spark, d))
     return found.select("asset_id", "rel_path", "line", "commented")
 
 
@@ -153,7 +152,7 @@ def style_file_filter(spark, d):
         "case page_id % 5 when 3 then 'js' when 4 then 'md' else 'html' end as ext",
         "html as text",
     )
-    return style_files(files).select("rel_path")
+    return style_files(files, max_chars=2_000_000, max_line=50_000).select("rel_path")
 
 
 HITS = """SELECT rel_path, CAST(line_no AS INT) AS line, CAST(col AS INT) AS col,

@@ -38,12 +38,14 @@ def in_folder(folder: str | None) -> Column:
     return (F.col("dir") == folder) | F.col("dir").startswith(folder + "/")
 
 
-def list_by_folder(assets: DataFrame, folder: str, sort: str = "name-asc", limit: int = 2000):
-    return assets.filter(F.col("dir") == folder).orderBy(*sort_keys(sort)).limit(limit)
+def list_by_folder(assets: DataFrame, folder: str, sort: str = "name-asc", limit: int | None = None):
+    listed = assets.filter(F.col("dir") == folder).orderBy(*sort_keys(sort))
+    return listed if limit is None else listed.limit(limit)
 
 
-def list_by_source(assets: DataFrame, limit: int = 10_000) -> DataFrame:
-    return assets.orderBy("dir", "name", "asset_id").limit(limit)
+def list_by_source(assets: DataFrame, limit: int | None = None) -> DataFrame:
+    listed = assets.orderBy("dir", "name", "asset_id")
+    return listed if limit is None else listed.limit(limit)
 
 
 def asset_totals(assets: DataFrame) -> DataFrame:

@@ -41,7 +41,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .filter(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v")
-            .distinct()
         )
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ID_BUCKETS = 1024
+from ..session import cut
+
 KEPT_ON_SAME_CONTENT = ["embedding", "embed_status", "white_fraction"]
 NEVER_OVERWRITTEN = ["author"]
 
@@ -32,7 +31,8 @@ def dense_ids(rows: DataFrame, key: str, start: Column) -> DataFrame:
     Rows are numbered inside hash buckets; each bucket starts after the rows of the buckets before
     it. The result depends on the keys only, so a recomputed task assigns the same ids.
     """
-    spread = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    spread = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(parts)))
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
@@ -45,10 +45,12 @@ def dense_ids(rows: DataFrame, key: str, start: Column) -> DataFrame:
     )
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert(stored: DataFrame, incoming: DataFrame, top: Column | None = None) -> DataFrame:
     """Merge by path: ids stay, features are replaced, embeddings survive unchanged content only.
 
-    Several rows for one path (a stream batch) are reduced to the latest by mtime first.
+    A column the incoming side does not have keeps its stored value while the content is unchanged.
+    Several rows for one path (a stream batch) are reduced to the latest by mtime first. New ids
+    follow ``top``, the largest id of ``stored`` by default.
     """
     columns = stored.columns
     newest = (
@@ -66,7 +68,7 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         was = F.col(f"old_{c}")
         if c == "asset_id" or c in NEVER_OVERWRITTEN:
             value = was if c == "asset_id" else F.coalesce(was, new)
-        elif c in KEPT_ON_SAME_CONTENT:
+        elif c in KEPT_ON_SAME_CONTENT or c not in incoming.columns:
             kept = F.when(unchanged, was)
             value = F.when(fresh & F.col("old_abs_path").isNotNull(), kept).otherwise(
                 F.coalesce(was, new)
@@ -75,8 +77,10 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
             value = F.when(fresh, new).otherwise(was)
         return value.cast(stored.schema[c].dataType).alias(c)
 
-    rows = joined.select(*[merged(c) for c in columns])
-    top = stored.agg(F.coalesce(F.max("asset_id"), F.lit(0)).alias("m")).scalar()
+    # read twice below, for known and for new paths
+    rows = cut(joined.select(*[merged(c) for c in columns]))
+    if top is None:
+        top = stored.agg(F.coalesce(F.max("asset_id"), F.lit(0)).alias("m")).scalar()
     known = rows.filter(F.col("asset_id").isNotNull())
     added = dense_ids(rows.filter(F.col("asset_id").isNull()).drop("asset_id"), "abs_path", top)
     return known.unionByName(added.select(*columns))
@@ -89,9 +93,10 @@ def delete_missing(stored: DataFrame, scanned: DataFrame, source_id: int) -> Dat
     return own.join(scanned.select("abs_path"), "abs_path", "left_semi").unionByName(others)
 
 
-def require_root(root: str) -> None:
+def require_root(spark: SparkSession, root: str) -> None:
     """A vanished root must stop the run before its rows are taken for deleted."""
-    if not os.path.isdir(root):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         raise FileNotFoundError(f"source root does not exist: {root}")
 
 

@@ -357,7 +357,6 @@ def drift_list(
         files = changed.select(F.col("path").alias("file"))
         touched = drift.join(files, "file", "left_semi").select(*key).distinct()
         drift = drift.join(touched, key, "left_semi")
-    top_n = max(1, min(100, top_n))
     order = drift_order(kind)[:-1]
     heads = drift.select(*key, "neutral", "suspicion").distinct()
     window = Window.partitionBy("source_id").orderBy(*order)

@@ -13,7 +13,6 @@ from .usages import unused_assets
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
-CANDIDATES = 2000
 
 
 def inverted_index(assets: DataFrame) -> DataFrame:
@@ -79,17 +78,13 @@ def search(
     usages: DataFrame | None = None,
     unused_only: bool = False,
     sort: str | None = None,
-    limit: int = 2000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Catalogue search. Text is ranked first and its best 2000 ids are then filtered."""
+    """Catalogue search: text and filters choose the rows, then they are ordered and cut if asked."""
     q = q.strip()
     terms = query_terms(q) if len(q) >= 2 else []
     if terms:
-        rows = (
-            text_matches(assets, terms)
-            .orderBy(F.desc("score"), "asset_id")
-            .limit(CANDIDATES)
-        )
+        rows = text_matches(assets, terms)
     else:
         rows = assets.filter(_like(q)) if q else assets
     if folder is not None:
@@ -98,8 +93,11 @@ def search(
         rows = rows.filter(F.col("ext").isin(exts))
     if unused_only:
         rows = unused_assets(rows, usages)
-    order = sort_keys(sort) if sort else [F.asc("dir"), F.asc("name"), F.asc("asset_id")]
-    listed = rows.orderBy(*order).limit(limit)
-    if terms and not sort:
-        return listed.orderBy(F.desc("score"), "asset_id")
-    return listed
+    if sort:
+        order = sort_keys(sort)
+    elif terms:
+        order = [F.desc("score"), F.asc("asset_id")]
+    else:
+        order = [F.asc("dir"), F.asc("name"), F.asc("asset_id")]
+    listed = rows.orderBy(*order)
+    return listed if limit is None else listed.limit(limit)

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.comments import commented_at, syntax
-from .text import MAX_FILE_CHARS, code_lines, regex_hits, snippet
+from .text import code_lines, in_size, regex_hits, snippet
 
 FILE_NAME = r"(?i)[A-Za-z0-9_.-]+\.(?:svg|png|jpe?g|webp|gif)(?![A-Za-z0-9_])"
-DEFAULT_CAP = 50
 
 
-def reference_hits(files: DataFrame) -> DataFrame:
-    """Every image file name in ``files`` with line, column and comment flag. No shuffle."""
-    usable = files.filter((F.length("text") > 0) & (F.length("text") <= MAX_FILE_CHARS))
-    lines = code_lines(usable, keep=FILE_NAME)
+def reference_hits(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Every image file name in ``files`` with line, column and comment flag. No shuffle.
+
+    Files over ``max_chars`` are left out when it is given; ``text.left_out`` lists them.
+    """
+    lines = code_lines(files.filter(in_size(max_chars)), keep=FILE_NAME)
     hits = lines.withColumn("hit", F.explode(regex_hits("line", FILE_NAME)))
     return hits.select(
         "source_id",
@@ -35,21 +36,19 @@ def reference_hits(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_usages(files: DataFrame, assets: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
-    """One row per (reference, asset with that exact file name), at most ``cap`` per asset.
+def scan_usages(files: DataFrame, assets: DataFrame, cap: int | None = None,
+                max_chars: int | None = None) -> DataFrame:
+    """One row per (reference, asset with that exact file name), all of them unless ``cap`` is given.
 
-    All assets that share a name receive the same hits in the same order, so the cap is applied
-    per name before the join. A name shared by very many assets then costs cap rows per asset
-    rather than hits x assets.
+    Only hits of names some asset has are kept. All assets that share a name receive the same hits
+    in the same order, so a cap is applied per name before the join.
     """
-    order = Window.partitionBy("source_id", "name").orderBy("abs_path", "line", "col")
-    capped = (
-        reference_hits(files)
-        .withColumn("seq", F.row_number().over(order))
-        .filter(F.col("seq") <= cap)
-        .drop("seq")
-    )
-    return assets.select("source_id", "name", "asset_id").join(capped, ["source_id", "name"]).select(
+    names = assets.select("source_id", "name").distinct()
+    hits = reference_hits(files, max_chars).join(names, ["source_id", "name"], "left_semi")
+    if cap is not None:
+        order = Window.partitionBy("source_id", "name").orderBy("abs_path", "line", "col")
+        hits = hits.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= cap).drop("seq")
+    return assets.select("source_id", "name", "asset_id").join(hits, ["source_id", "name"]).select(
         "asset_id", "source_id", "rel_path", "abs_path", "line", "col", "snippet", "commented"
     )
 

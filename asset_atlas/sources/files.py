@@ -13,14 +13,15 @@ from ..functions.fingerprint import content_hash, dhash, popcount, svg_stats
 from ..functions.names import IMAGE_EXTENSIONS, category, path_extension, stem
 from ..functions.util import basename, dirname
 from ..operators.incremental import dense_ids
-from ..operators.match import MAX_QUERY_BYTES
 from ..operators.styles import style_files
-from ..operators.text import MAX_FILE_CHARS
+from ..operators.text import in_size
 
 # Text files searched for references.
 CODE_EXTENSIONS = (
     "ts tsx js jsx mjs cjs vue svelte astro html htm css scss sass less styl json md mdx yml yaml"
 ).split()
+#: raster formats Spark's image source decodes
+DECODABLE = ["png", "jpg", "jpeg", "gif"]
 DEFAULT_IGNORE = [r"(?:^|/)node_modules/", r"(?:^|/)\.[^/]+"]
 
 
@@ -29,16 +30,21 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:(?://)?(?=/)", "")
 
 
-def read_binary(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """All files below ``root`` with one of the extensions, in any letter case."""
+def any_case(extensions: list[str]) -> str:
+    """Glob of file names with one of the extensions, in any letter case."""
 
-    def any_case(ext: str) -> str:
+    def both(ext: str) -> str:
         return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
 
+    return "*.{" + ",".join(both(e) for e in extensions) + "}"
+
+
+def read_binary(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
+    """All files below ``root`` with one of the extensions, in any letter case."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{" + ",".join(any_case(e) for e in extensions) + "}")
+        .option("pathGlobFilter", any_case(extensions))
         .load(root)
     )
 
@@ -89,16 +95,16 @@ def scan_code(
     source_id: int,
     extensions: list[str] | None = None,
     ignore: list[str] | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Text files for the reference scan; empty and oversized ones are left out."""
+    """Text files for the reference scan, without empty ones and those over ``max_chars`` if given."""
     files = read_binary(spark, root, extensions or CODE_EXTENSIONS)
     parts = with_path_parts(files, root, source_id, DEFAULT_IGNORE if ignore is None else ignore)
     raw = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
     text = F.decode(F.col("content"), "UTF-8")
     return (
-        parts.filter(F.col("length") <= 4 * MAX_FILE_CHARS)
-        .select("source_id", "rel_path", "abs_path", raw.alias("ext"), text.alias("text"))
-        .filter((F.length("text") > 0) & (F.length("text") <= MAX_FILE_CHARS))
+        parts.select("source_id", "rel_path", "abs_path", raw.alias("ext"), text.alias("text"))
+        .filter(in_size(max_chars))
     )
 
 
@@ -199,24 +205,28 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("image")
         .option("recursiveFileLookup", True)
         .option("dropInvalid", False)
-        .option("pathGlobFilter", "*.{png,jpg,jpeg,gif,PNG,JPG,JPEG,GIF}")
+        .option("pathGlobFilter", any_case(DECODABLE))
         .load(root)
     )
 
 
+def view_size(view_box: Column) -> list[Column]:
+    """Width and height of a view box, rounded."""
+    box = F.split(F.trim(view_box), r"[\s,]+")
+
+    def side(i: int) -> Column:
+        return F.round(F.try_element_at(box, F.lit(i)).try_cast("double")).cast("int")
+
+    return [side(3).alias("svg_width"), side(4).alias("svg_height")]
+
+
 def svg_features(assets: DataFrame) -> DataFrame:
     """SVG statistics with the drawing's own width and height."""
     stats = svg_stats(F.decode("content", "UTF-8"))
-    box = F.split(F.trim("s.view_box"), r"[\s,]+")
     return (
         assets.filter("ext = 'svg'")
         .select("abs_path", stats.alias("s"))
-        .select(
-            "abs_path",
-            F.round(F.try_element_at(box, F.lit(3)).try_cast("double")).cast("int").alias("svg_width"),
-            F.round(F.try_element_at(box, F.lit(4)).try_cast("double")).cast("int").alias("svg_height"),
-            "s.*",
-        )
+        .select("abs_path", *view_size(F.col("s.view_box")), "s.*")
     )
 
 
@@ -240,17 +250,29 @@ def build_assets(spark: SparkSession, root: str, source_id: int) -> DataFrame:
     )
 
 
-def query_signatures(spark: SparkSession, root: str, source_id: int) -> DataFrame:
-    """Features of incoming files, as queries against one source; oversized files are refused."""
-    signed = build_assets(spark, root, source_id).filter(F.col("size") <= MAX_QUERY_BYTES)
+def query_signatures(spark: SparkSession, root: str, source_id: int,
+                     max_bytes: int | None = None) -> DataFrame:
+    """Features of incoming files, as queries against one source; ``refused`` lists those too large."""
+    signed = build_assets(spark, root, source_id)
+    if max_bytes is not None:
+        signed = signed.filter(F.col("size") <= max_bytes)
     return dense_ids(signed, "abs_path", F.lit(0)).withColumnRenamed("asset_id", "query_id")
 
 
+def refused(assets: DataFrame, max_bytes: int) -> DataFrame:
+    """One failure row per incoming file over the size limit."""
+    return assets.filter(F.col("size") > max_bytes).select(
+        F.lit("query").alias("label"), F.col("rel_path").alias("file"), F.lit("file over the size limit").alias("reason")
+    )
+
+
 def failures(assets: DataFrame) -> DataFrame:
-    """One row per raster file that could not be decoded; the run itself goes on."""
-    broken = (F.col("ext") != "svg") & F.col("width").isNull()
+    """One row per raster file without features, and why; the run itself goes on."""
+    broken = (F.lower("ext") != "svg") & F.col("width").isNull()
     return assets.filter(broken).select(
         F.lit("decode").alias("label"),
         F.col("rel_path").alias("file"),
-        F.lit("image could not be decoded").alias("reason"),
+        F.when(F.lower("ext").isin(DECODABLE), "image could not be decoded")
+        .otherwise("image format is not decoded")
+        .alias("reason"),
     )

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fingerprint import content_hash, svg_stats
-from ..functions.names import is_image_name
+from ..functions.names import category, is_image_name
 from ..operators.incremental import upsert
 from ..schemas import ASSETS
-from ..sources.files import DEFAULT_IGNORE, with_path_parts
+from ..session import cut, drop_folder
+from ..sources.files import DECODABLE, DEFAULT_IGNORE, raster_features, view_size, with_path_parts
 from ..sources.sinks import read_table
 
+MAX_FILES = 1000
+RASTER = {
+    "width": "int", "height": "int", "dominant_color": "string", "phash": "string",
+    "phash_popcount": "int", "white_fraction": "double",
+}
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -23,6 +29,7 @@ def arriving_assets(spark: SparkSession, root: str, source_id: int) -> DataFrame
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", MAX_FILES)
         .load(root)
         .filter(is_image_name(F.col("path")))
     )
@@ -36,17 +43,39 @@ def arriving_assets(spark: SparkSession, root: str, source_id: int) -> DataFrame
             "source_id", "abs_path", "rel_path", "dir", "name", "stem", "ext",
             F.col("length").alias("size"),
             F.unix_millis("modificationTime").alias("mtime"),
-            "content_hash", "sha1", "s.*",
+            "content_hash", "sha1", "s.*", "path",
+            *view_size(F.col("s.view_box")),
         )
     )
 
 
+def with_features(batch: DataFrame) -> DataFrame:
+    """Decode the raster files of one micro-batch and complete its rows.
+
+    The stream names the files of a batch on the driver anyway, at most ``MAX_FILES`` of them, so
+    the image reader is given just these.
+    """
+    spark = batch.sparkSession
+    if "path" not in batch.columns:
+        return batch
+    decodable = F.lower("ext").isin(DECODABLE)
+    paths = [r["path"] for r in batch.filter(decodable).select("path").collect()]
+    if paths:
+        images = spark.read.format("image").option("dropInvalid", False).load(paths)
+        batch = batch.join(raster_features(images), "abs_path", "left")
+    else:
+        batch = batch.withColumns({n: F.lit(None).cast(t) for n, t in RASTER.items()})
+    size = {c: F.coalesce(c, f"svg_{c}") for c in ("width", "height")}
+    batch = batch.withColumns(size).drop("path", "svg_width", "svg_height")
+    return batch.withColumn("category", category(F.col("ext"), F.col("width"), F.col("height")))
+
+
 def write_batch(batch: DataFrame, batch_id: int, table: str) -> None:
     """Store one micro-batch under its own number; a replayed batch overwrites itself.
 
-    Ingest cost follows the batch. The catalogue itself is only rewritten by ``compact``.
+    Ingest cost follows the batch. The catalogue itself is only touched by ``compact``.
     """
-    batch.write.mode("overwrite").parquet(f"{table}/log/batch={batch_id}")
+    with_features(batch).write.mode("overwrite").parquet(f"{table}/log/batch={batch_id}")
 
 
 def start_ingest(
@@ -62,49 +91,38 @@ def start_ingest(
     )
 
 
-def _state(spark: SparkSession, table: str) -> tuple[int, int]:
-    """(version, last batch in it) of the newest complete catalogue version."""
-    try:
-        rows = spark.read.schema("version int, batch int").json(f"{table}/versions")
-    except AnalysisException:
-        return 0, -1
-    newest = rows.orderBy(F.desc("version")).first()
-    return (newest["version"], newest["batch"]) if newest else (0, -1)
-
-
 def compact(spark: SparkSession, table: str) -> int:
-    """Fold the batches logged since the last version into a new one; returns its number.
+    """Fold the logged batches into the catalogue; returns how many rows they held.
 
-    The pointer is written after the version is complete, so readers never see half of it. Several
-    rows for one path keep the latest by file time.
+    Only the partitions of the sources they touch are replaced. The batches are deleted afterwards;
+    folding one again, after a crash in between, changes nothing.
     """
-    version, last = _state(spark, table)
     try:
-        log = spark.read.parquet(f"{table}/log")
+        log = spark.read.option("mergeSchema", True).parquet(f"{table}/log")
     except AnalysisException:
-        return version
-    fresh = log.filter(F.col("batch") > last)
-    top = fresh.agg(F.max("batch")).first()[0]
-    if top is None:
-        return version
-    stored = (
-        read_table(spark, f"{table}/v{version}", ASSETS)
-        if version
-        else spark.createDataFrame([], ASSETS)
+        return 0
+    fresh = cut(log)
+    batches = [r["batch"] for r in fresh.select("batch").distinct().collect()]
+    if not batches:
+        return 0
+    stored = read_assets(spark, table)
+    top = stored.agg(F.coalesce(F.max("asset_id"), F.lit(0))).first()[0]
+    mine = stored.join(fresh.select("source_id").distinct(), "source_id", "left_semi").select(stored.columns)
+    merged = cut(upsert(mine, fresh.drop("batch"), F.lit(top)))
+    (
+        merged.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("source_id")
+        .parquet(f"{table}/rows")
     )
-    merged = upsert(stored, fresh.drop("batch"))
-    merged.write.mode("overwrite").partitionBy("source_id").parquet(f"{table}/v{version + 1}")
-    pointer = spark.createDataFrame([(version + 1, top)], "version int, batch int")
-    pointer.write.mode("append").json(f"{table}/versions")
-    return version + 1
+    for batch in batches:
+        drop_folder(spark, f"{table}/log/batch={batch}")
+    return fresh.count()
 
 
 def read_assets(spark: SparkSession, table: str) -> DataFrame:
-    """The newest complete version of the catalogue."""
-    version, _ = _state(spark, table)
-    if version == 0:
-        return spark.createDataFrame([], ASSETS)
-    return read_table(spark, f"{table}/v{version}", ASSETS)
+    """The catalogue as of the last ``compact``."""
+    return read_table(spark, f"{table}/rows", ASSETS)
 
 
 def duplicate_alerts(arriving: DataFrame, assets: DataFrame) -> DataFrame:

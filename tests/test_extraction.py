@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from asset_atlas.operators.styles import extract_styles
-from asset_atlas.operators.text import code_lines, with_block_state
+from asset_atlas.operators.text import code_lines, left_out, with_block_state
 from asset_atlas.operators.usages import reference_hits, scan_usages
 from asset_atlas.schemas import CODE_FILES
 
@@ -65,7 +67,6 @@ def test_functions_and_overlaps(spark):
         ("a.ts", 'const c = "#abc1234";'),
         ("a.ts", "// #402678"),
         ("a.css", "/* .x { color: #402678; }\n .y { color: #111111; } */"),
-        ("a.css", ".a { color: #402678; }" + " " * 60_000),
         ("a.md", "color: #402678"),
         ("a.json", '{"c": "#402678"}'),
         ("src/theme.spec.css", ".a { color: #402678; }"),
@@ -78,6 +79,31 @@ def test_no_colors(spark, path, text):
     assert hits(spark, "color", path, text) == []
 
 
+def test_limits_are_opt_in_and_leave_a_trace(spark):
+    big = files(spark, ("a.css", ".a { color: #402678; }" + " " * 60_000), ("b.css", ".b { color: red; }"))
+    assert extract_styles(big, "color").count() == 2
+    assert extract_styles(big, "color", max_line=50_000).count() == 1
+    assert [r["file"] for r in left_out(big, max_line=50_000).collect()] == ["a.css"]
+    assert [r["file"] for r in left_out(big, max_chars=30).collect()] == ["a.css"]
+    assert left_out(big).isEmpty()
+
+
+def test_many_lines_and_hits_in_one_file(spark):
+    lines = [f'x{i}.png /* y{i}.svg' if i % 7 == 0 else f'*/ "z{i}.png"' if i % 7 == 3 else f"w{i}.gif v{i}.png" for i in range(900)]
+    lines.append(" ".join(f"q{i}.png" for i in range(1500)))
+    text = "\n".join(lines)
+    found = reference_hits(files(spark, ("a.css", text))).collect()
+    want = [(n, c) for n, line in enumerate(lines, 1) for c in [m.start() for m in re.finditer(r"[a-z0-9]+\.(?:png|svg|gif)", line)]]
+    assert sorted((r["line"], r["col"]) for r in found) == want
+    spread = {r["line_no"]: (r["line_offset"], r["in_js"]) for r in code_lines(files(spark, ("a.css", text))).collect()}
+    state, offset = False, 0
+    for n, line in enumerate(lines, 1):
+        assert spread[n] == (offset, state)
+        net = line.count("/*") - line.count("*/")
+        state = True if net > 0 else False if net < 0 else state
+        offset += len(line) + 1
+
+
 def test_css_type(spark):
     text = (
         '.a { font-size: 13px; font-family: "Inter", sans-serif /*rtl:x*/; font-weight: bold; }\n'

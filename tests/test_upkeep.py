@@ -74,9 +74,9 @@ def test_scan_code(spark, repo):
     assert S.scan_style_files(spark, str(repo), 1).count() == 2
 
 
-def test_vanished_root_stops_the_run(tmp_path):
+def test_vanished_root_stops_the_run(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        N.require_root(str(tmp_path / "gone"))
+        N.require_root(spark, str(tmp_path / "gone"))
 
 
 def asset(spark, **values):
@@ -156,17 +156,37 @@ def test_streaming_ingest_is_incremental(spark, repo, tmp_path):
     table, state = str(tmp_path / "assets"), str(tmp_path / "state")
     assert read_assets(spark, table).count() == 0 and compact(spark, table) == 0
     start_ingest(spark, str(repo), 1, table, state).awaitTermination()
-    assert compact(spark, table) == 1
+    assert compact(spark, table) == 5
     first = {r["rel_path"]: r["asset_id"] for r in read_assets(spark, table).collect()}
     assert len(first) == 5 and sorted(first.values()) == [1, 2, 3, 4, 5]
     (repo / "late.svg").write_text("<svg/>")
     start_ingest(spark, str(repo), 1, table, state).awaitTermination()
     assert read_assets(spark, table).count() == 5
-    assert compact(spark, table) == 2 and compact(spark, table) == 2
+    assert compact(spark, table) == 1 and compact(spark, table) == 0
     second = {r["rel_path"]: r["asset_id"] for r in read_assets(spark, table).collect()}
     assert second == {**first, "late.svg": 6}
 
 
+def test_streamed_features_survive(spark, repo, tmp_path):
+    table, state = str(tmp_path / "assets"), str(tmp_path / "state")
+    start_ingest(spark, str(repo), 1, table, state).awaitTermination()
+    compact(spark, table)
+    columns = ["rel_path", "width", "height", "phash", "phash_popcount", "category", "dominant_color"]
+    want = {r["rel_path"]: r for r in S.build_assets(spark, str(repo), 1).select(columns).collect()}
+    got = {r["rel_path"]: r for r in read_assets(spark, table).select(columns).collect()}
+    assert got == want and any(r["phash"] for r in want.values())
+    # a later row without features keeps what is stored for the same content
+    (kept,) = read_assets(spark, table).filter("phash is not null").limit(1).collect()
+    names = ["source_id", "abs_path", "content_hash", "size", "mtime"]
+    bare = spark.createDataFrame(
+        [tuple(kept[c] for c in names)], "source_id bigint, abs_path string, content_hash string, size bigint, mtime bigint"
+    )
+    write_batch(bare, 99, table)
+    compact(spark, table)
+    (again,) = read_assets(spark, table).filter(F.col("abs_path") == kept["abs_path"]).collect()
+    assert again == kept
+
+
 def test_replayed_batch_overwrites_itself(spark, tmp_path):
     table = str(tmp_path / "assets")
     schema = "source_id bigint, abs_path string, content_hash string, size bigint, mtime bigint"
