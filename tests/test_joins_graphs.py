@@ -224,13 +224,19 @@ def ask(spark, n=1):
     )
 
 
-@pytest.mark.parametrize("limit", [10**8, 0])
-def test_semantic_gate(spark, limit, monkeypatch):
+def test_vectors_of_mixed_length(spark):
+    rows = [(1, 0, [1.0, 0.0, 5.0], None), (1, 1, [3.0, 4.0], None), (1, 2, [0.0, 0.0], None), (1, 3, [], None)]
+    assets = spark.createDataFrame(rows, "source_id bigint, asset_id bigint, embedding array<double>, embed_status string")
+    got = {r["asset_id"]: r["score"] for r in semantic_bucket(ask(spark), assets, floor=-1.0).collect()}
+    assert got == {0: pytest.approx(1.0), 1: pytest.approx(0.6), 2: 0.0, 3: 0.0}
+
+
+def test_semantic_gate(spark, monkeypatch):
     from asset_atlas.operators import semantic
 
     monkeypatch.setattr(semantic, "PART_ROWS", 30)
     spread = [0.68 + 0.072 * i / 99 for i in range(100)]
-    got = semantic_bucket(ask(spark, 2), vectors(spark, [*spread, 0.96]), limit=limit).collect()
+    got = semantic_bucket(ask(spark, 2), vectors(spark, [*spread, 0.96])).collect()
     assert {(r["query_id"], r["asset_id"]) for r in got} == {(0, 100), (1, 100)}
     assert all(r["percentile"] == 99 for r in got)
 
