@@ -216,16 +216,16 @@ def hash_clusters_in_folder(spark, d):
         CAST(0 AS BIGINT) AS near_clusters,
         (SELECT CAST(sum(per_file_size * (group_size - 1)) AS BIGINT) FROM hash_dups WHERE pos = 1)
           AS reclaimable_bytes,
-        (SELECT count(*) FROM assets_part WHERE asset_id NOT IN (SELECT asset_id FROM usages_li
-          WHERE commented)) AS unused_assets,
+        (SELECT count(*) FROM assets_part WHERE asset_id NOT IN (SELECT asset_id FROM usages_li))
+          AS unused_assets,
         (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM assets_part WHERE asset_id NOT IN
-          (SELECT asset_id FROM usages_li WHERE commented)) AS unused_bytes""",
+          (SELECT asset_id FROM usages_li)) AS unused_bytes""",
     ),
 )
 def overview_counts(spark, d):
     a = assets_part(spark, d)
     clusters = K.hash_clusters(a).unionByName(K.name_clusters(a))
-    return C.overview(a, usages_li(spark, d).filter("commented"), clusters).drop("source_id")
+    return C.overview(a, usages_li(spark, d), clusters).drop("source_id")
 
 
 @query(
