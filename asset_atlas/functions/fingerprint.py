@@ -105,34 +105,47 @@ def embed_status(white: Column, failed: Column) -> Column:
     )
 
 
+#: an attribute with its value in either kind of quotes
+ATTRIBUTE = r"([A-Za-z_][A-Za-z0-9_.:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+_HEX_COLOR = "#[0-9a-fA-F]{3,8}(?![A-Za-z0-9_])"
+_COMMA = r"\s*,\s*"
+_RGB_COLOR = r"(?i)rgba?\(\s*" + _COMMA.join(["[0-9]+"] * 3) + rf"(?:{_COMMA}[0-9.]+)?\s*\)"
+
+
+def attributes(markup: Column) -> Column:
+    """Attributes in order as array<struct<name, value>>, names in lower case."""
+    return F.transform(
+        F.regexp_extract_all(markup, F.lit(ATTRIBUTE), F.lit(0)),
+        lambda t: F.struct(
+            F.lower(F.regexp_extract(t, ATTRIBUTE, 1)).alias("name"),
+            F.concat(F.regexp_extract(t, ATTRIBUTE, 2), F.regexp_extract(t, ATTRIBUTE, 3)).alias("value"),
+        ),
+    )
+
+
 def svg_stats(text: Column) -> Column:
     """Structure counts, stroke widths and literal colours of one SVG document."""
-    w = "(?<![A-Za-z0-9_])"
-    path_re = rf"(?i)<path(?![A-Za-z0-9_])[^>]*{w}d\s*=\s*[\"']([^\"']*)[\"']"
-    bodies = F.regexp_extract_all(text, F.lit(path_re), F.lit(1))
-    commands = F.aggregate(
-        bodies,
-        F.lit(0),
-        lambda n, d: n + F.length(F.regexp_replace(d, r"(?i)[^MLHVCSQTAZ]", "")),
-    )
-    view_box = F.regexp_extract(text, rf"(?i){w}viewBox\s*=\s*[\"']([^\"']+)[\"']", 1)
-    fills = F.regexp_extract_all(text, F.lit(rf"(?i){w}fill\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    strokes = F.regexp_extract_all(
-        text, F.lit(rf"(?i){w}stroke-width\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)
-    )
-    hexes = F.transform(
-        F.regexp_extract_all(text, F.lit(r"#[0-9a-fA-F]{3,8}(?![A-Za-z0-9_])"), F.lit(0)), F.lower
+
+    def values(attrs: Column, name: str) -> Column:
+        return F.filter(attrs, lambda a: (a["name"] == name) & (a["value"] != ""))["value"]
+
+    everything = attributes(text)
+    tags = F.regexp_extract_all(text, F.lit("<([A-Za-z][^>]*)"), F.lit(1))
+    paths = F.filter(tags, lambda t: F.lower(F.regexp_extract(t, "^[A-Za-z0-9_]+", 0)) == "path")
+    bodies = F.filter(
+        F.transform(paths, lambda t: F.try_element_at(F.filter(attributes(t), lambda a: a["name"] == "d")["value"], F.lit(-1))),
+        lambda d: d.isNotNull(),
     )
-    rgbs = F.regexp_extract_all(
-        text,
-        F.lit(r"(?i)rgba?\(\s*\d+\s*,\s*\d+\s*,\s*\d+(?:\s*,\s*[\d.]+)?\s*\)"),
-        F.lit(0),
+    commands = F.aggregate(
+        bodies, F.lit(0), lambda n, d: n + F.length(d) - F.length(F.regexp_replace(d, "(?i)[achlmqstvz]", ""))
     )
+    hexes = F.transform(F.regexp_extract_all(text, F.lit(_HEX_COLOR), F.lit(0)), F.lower)
+    rgbs = F.regexp_extract_all(text, F.lit(_RGB_COLOR), F.lit(0))
     return F.struct(
-        F.when(view_box != "", view_box).alias("view_box"),
+        F.get(values(everything, "viewbox"), F.lit(0)).alias("view_box"),
         F.size(bodies).alias("paths_count"),
         commands.alias("commands_count"),
-        (F.size(F.filter(fills, lambda f: f != "none")) > 0).alias("has_fill"),
-        F.array_distinct(strokes).alias("stroke_widths"),
+        F.exists(values(everything, "fill"), lambda f: f != "none").alias("has_fill"),
+        F.array_distinct(values(everything, "stroke-width")).alias("stroke_widths"),
         F.concat(F.array_distinct(hexes), F.array_distinct(rgbs)).alias("literal_colors"),
     )
