@@ -6,10 +6,11 @@ stop once their next arrival lies behind all its registers. The share of equal r
 the probability Jaccard of the weighted shingles, and 32 bands of four registers miss a pair at 0.8
 with a chance under 1e-7.
 
-Texts of the same words are one node from the start. In a band's bucket, members are first linked to
-its leader, smallest node in one round and largest in the next, so a bucket of K copies costs K
-candidates; buckets whose members already share a class are done. Only then are the pairs left
-between different classes of a bucket formed and, if their signatures come near, verified. A link is
+Texts of the same words are one node from the start. In a band's bucket, members are first held
+against its two leaders, the most central node and the one of the smallest id, so a bucket of K copies costs
+2 K candidates; buckets whose members then share a class are done. Of the pairs left between
+different classes those are formed whose rarest and own shingles allow a link, and verified if their
+signatures come near. A link is
 a set Jaccard of 0.8 or more; classes are the connected components of the links.
 
 Defined cases: null and empty texts have no shingle and stay alone; texts of one to four words are
@@ -23,20 +24,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import discard, release, stored
-from .rows import Chunk, carried, chunks, mix, shingles, whole_text, words
+from ..session import discard, stored
+from . import exchange
+from .rows import Chunk, carried, chunks, mix, pack, shingles, unpack, whole_text, words
 
 SHINGLE = 5
+SHINGLE_BLOCK = "block bigint, nodes array<bigint>, n bigint, doc binary, hash binary"
 SIMILARITY = 0.8
+#: open texts that hold a rare shingle at most
+FEW = 32
 REGISTERS = 128
 BANDS = 32
-#: signatures this far under the similarity never belong to a link (over 7 standard deviations)
-LEAST_ESTIMATE = 0.5
+#: share of equal registers below which a pair is not verified, 3.5 standard deviations under a link's
+LEAST_ESTIMATE = 0.68
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -186,28 +193,126 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
     return checked.filter(F.col("similarity") >= least).select("u", "v").distinct()
 
 
-def _leader_pairs(members: DataFrame, largest: bool) -> DataFrame:
-    """Member and leader of each bucket that holds several classes, where these two differ."""
-    pick = F.max if largest else F.min
-    heads = (
-        members.groupBy("key")
-        .agg(pick(F.struct("node", "class")).alias("head"), F.min("class").alias("a"), F.max("class").alias("b"))
-        .filter("a <> b")
-        .select("key", F.col("head.node").alias("v"), F.col("head.class").alias("head_class"))
-    )
-    return members.join(heads, "key").filter("class <> head_class").select(F.col("node").alias("u"), "v").distinct()
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Each member with its bucket's leaders: the most central node and the one of the smallest id.
+
+    A node is central if many others share its buckets, as the source of a group of copies does.
+    """
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    known = members.join(weight, "node")
+    heads = known.groupBy("key").agg(
+        F.max(F.struct("weight", "node")).alias("a"), F.min(F.struct("_doc", "node")).alias("b"))
+    heads = heads.select("key", F.explode(F.array_distinct(F.array("a.node", "b.node"))).alias("v"))
+    both = members.select("key", F.col("node").alias("u")).join(heads, "key").filter("u <> v")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _shingle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text, a chunk of texts per row."""
+    base, number = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for c in chunks(batch.column("_text")):
+            doc, h, _ = weighted_shingles(c)
+            row = [base + number, batch.column("node").slice(c.first, c.last - c.first).to_pylist(), len(h),
+                   pack(np.diff(doc, prepend=0).astype(np.uint32)), pack(h)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+            names = [f.split()[0] for f in SHINGLE_BLOCK.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            number += 1
+
+
+def _ask_shingles(shards: int):
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for row in pdf.itertuples():
+                keys, counts = np.unique(unpack(row.hash, _U), return_counts=True)
+                rows = exchange.messages(1, row.block, keys, counts.astype(np.uint32)[:, None], shards)
+                yield exchange.as_frame(list(rows), ["kind", "shard", "block", "keys", "body"])
+
+    return run
 
 
-def _other_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of different classes that still share a bucket."""
+def _rare(least: float):
+    """Per node of a block: its shingles, how many of them one text or few have, and its rarest ones.
+
+    Two texts at the similarity share one of the rarest 1 - ``least`` of either's shingles.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in left.itertuples():
+            doc = np.cumsum(unpack(row.doc, np.uint32).astype(np.int64))
+            h = unpack(row.hash, _U)
+            _, at = np.unique(h, return_inverse=True)
+            held = exchange.read_answers(right, 1, np.uint32)[0][at]
+            order = np.lexsort((h, held, doc))
+            doc, h, held = doc[order], h[order], held[order]
+            for d in range(len(row.nodes)):
+                a, b = np.searchsorted(doc, [d, d + 1])
+                n = int(b - a)
+                top = slice(a, a + n - int(np.ceil(least * n - 1e-9)) + 1)
+                out.append((int(row.nodes[d]), n, int((held[a:b] == 1).sum()), int((held[a:b] <= FEW).sum()),
+                            h[top].view(np.int64).tolist(), held[top].astype(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["node", "size", "own", "few", "rare", "held"])
+
+    return run
+
+
+def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
+    """(node, size, own, few, rare, held) of (node, _text) rows, see ``_rare``."""
+    blocks = stored(texts.select("node", "_text").mapInArrow(_shingle_blocks, SHINGLE_BLOCK), "near-shingles")
+    shards = exchange.shard_count(exchange.count_rows(blocks, "n"))
+    asked = blocks.mapInPandas(_ask_shingles(shards), exchange.MESSAGE)
+    answers = exchange.by_shard(asked, exchange.sums(np.uint32, 1), exchange.ANSWER)
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        _rare(least), "node bigint, size bigint, own bigint, few bigint, rare array<bigint>, held array<bigint>")
+    found = stored(found, "near-rare")
+    discard(blocks)
+    return found
+
+
+def _other_pairs(nodes: DataFrame, members: DataFrame, label: DataFrame, tested: DataFrame, texts: DataFrame,
+                 least: float) -> DataFrame:
+    """Pairs of texts in open buckets, of different classes and not tested yet, that could be links.
+
+    Open are buckets of several classes. Two texts at ``least`` share one of their rarest shingles.
+    If that is one of few texts, the pair is bounded by its shingles no other open text has, else by
+    all its shingles of few texts. The rules are exact, and leave out texts around one common
+    passage and copies edited in different places.
+    """
+    classed = members.join(label, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class"))
     open_keys = (
-        members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("key")
-    )
-    left = members.join(open_keys, "key", "left_semi")
-    right = left.select("key", F.col("node").alias("v"), F.col("class").alias("class_v"))
-    return (
-        left.withColumnRenamed("node", "u").join(right, "key").filter("class < class_v").select("u", "v").distinct()
+        classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("key")
     )
+    open_ = stored(classed.join(open_keys, "key", "left_semi").select("node", "class").distinct(), "near-open")
+    named = nodes.join(open_, "node").select("node", "class", "_doc", "_sum")
+    once = texts.join(named.select("_doc", "_sum"), ["_doc", "_sum"], "left_semi").dropDuplicates(["_doc", "_sum"])
+    rare = rare_shingles(named.select("node", "_doc", "_sum").join(once, ["_doc", "_sum"]), least)
+    able = open_.join(rare, "node").filter(F.col("size") - F.col("own") >= least * F.col("size"))
+    rows = able.select("node", "class", "size", "own", "few", F.explode(F.arrays_zip("rare", "held")).alias("x"))
+    rows = stored(rows.select("node", "class", "size", "own", "few", F.col("x.rare").alias("key"), F.col("x.held").alias("held")),
+                  "near-keys")
+    # a pair that meets at a common shingle only shares no rare one: all of these rank before it
+    pairs = _crossing(rows.filter(F.col("held").between(2, FEW)), "own", least).unionByName(
+        _crossing(rows.filter(F.col("held") > FEW), "few", least))
+    return pairs.distinct().join(tested, ["u", "v"], "left_anti")
+
+
+def _crossing(rows: DataFrame, lost: str, least: float) -> DataFrame:
+    """Pairs at a key of different classes whose sizes less ``lost`` allow a link.
+
+    Every such pair has a side outside the key's largest class, so only those rows meet all others.
+    """
+    main = rows.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
+    known = rows.join(main.select("key", F.col("main.class").alias("main")), "key")
+    left = known.filter("class <> main").select("key", "node", "class", "size", F.col(lost).alias("lost"))
+    right = known.select(F.col("key").alias("key_v"), *[F.col(c).alias(f"{c}_v") for c in ("node", "class", "size")],
+                         F.col(lost).alias("lost_v"))
+    shared = F.least(F.col("size") - F.col("lost"), F.col("size_v") - F.col("lost_v"))
+    fits = (F.col("class") != F.col("class_v")) & (shared >= least * (F.col("size") + F.col("size_v") - shared))
+    pairs = left.join(right, (F.col("key") == F.col("key_v")) & fits)
+    return pairs.select(F.least("node", "node_v").alias("u"), F.greatest("node", "node_v").alias("v"))
 
 
 def classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -216,7 +321,6 @@ def classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> D
     ``class_id`` is the smallest id of the class; ``is_head`` marks the one document of a class to
     keep, the smallest (id, text hash).
     """
-    spark = docs.sparkSession
     rows = stored(describe(docs, text), "near-rows")
     alone = rows.filter("s1 is null").select(
         "_doc", "_sum", F.col("_doc").alias("class_id"), F.lit(1).cast("long").alias("class_rows"),
@@ -227,31 +331,28 @@ def classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> D
         first.alias("h"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = stored(
         heads.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "h.*", "sig", "bands"), "near-nodes")
-    release(spark)
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = stored(buckets.join(shared, "key", "left_semi"), "near-members")
+    buckets = nodes.select("node", "_doc", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(buckets.join(shared, "key"), "near-members")
     texts = docs.select(*_row_key(text), F.col(text).alias("_text"))
-    links, label = None, None
-    tested = None
-    for turn in ("smallest", "largest", "rest"):
-        state = members.withColumn("class", F.col("node")) if label is None else members.join(
-            label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-        pairs = _other_pairs(state) if turn == "rest" else _leader_pairs(state, turn == "largest")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
+
+    def checked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         named = nodes.join(wanted, "node", "left_semi").select("_doc", "_sum")
         # several rows may be the same document, one is enough to verify
         some = texts.join(named, ["_doc", "_sum"], "left_semi").dropDuplicates(["_doc", "_sum"])
-        fresh = stored(verified(pairs, nodes, some, least), "near-links")
-        release(spark)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if label is None or not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            label = stored(connected_components(links), "near-classes")
+        return stored(verified(pairs, nodes, some, least), "near-links")
+
+    tested = stored(_leader_pairs(members), "near-pairs")
+    links = checked(tested)
+    label = stored(connected_components(links), "near-classes")
+    rest = stored(_other_pairs(nodes, members, label, tested, texts, least), "near-pairs")
+    if not rest.isEmpty():
+        more = checked(rest)
+        if not more.isEmpty():
+            # classes found so far stand for their links
+            stars = label.filter("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
+            label = stored(connected_components(stars.unionByName(more)), "near-classes")
     discard(members)
     placed = nodes.join(label, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("class"))
     named = stored(rows.filter("s1 is not null").select("_doc", "_sum", "s1", "s2").join(placed, ["s1", "s2"]), "near-named")
