@@ -6,8 +6,8 @@ matches, never over the text, and cost no more for a text with very many matches
 
 Patterns use possessive loops and start only where a run starts, so they stay linear in long runs
 and never recurse. Defined cases: null text counts as empty and has no span; a null id stays null;
-repeated rows are reported one by one; an empty table gives an empty result; other columns are
-ignored.
+repeated rows are reported one by one; an empty table gives an empty result; other columns
+pass through ``find_spans``, one named ``found`` or with a leading underscore is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import whole_text
+from .rows import carried, whole_text
 
 CONTEXT = 40
 
@@ -108,16 +108,18 @@ def _proposals(number: int, kind: Kind, text: Column) -> Column:
     return F.when(hint, rows).otherwise(empty)
 
 
-def find_spans(docs: DataFrame, text: str = "text", kinds: list[Kind] = KINDS) -> DataFrame:
-    """Every document with ``found``: its confirmed spans by start, then kind.
+def find_spans(docs: DataFrame, text: str = "text", kinds: list[Kind] = KINDS,
+               keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (all by default) with ``found``: the confirmed spans by start, then kind.
 
-    A span is (start, kind number, end, score), code points with the end exclusive. Other columns
-    of ``docs`` are kept.
+    A span is (start, kind number, end, score), code points with the end exclusive. Only the kept
+    columns travel through the shuffle.
     """
     whole = whole_text(text)
+    keep = carried(docs, "found").columns if keep is None else keep
     wide = docs.select(
         F.monotonically_increasing_id().alias("_row"),
-        F.struct(*[F.col(c) for c in docs.columns]).alias("_doc") if docs.columns else F.lit(None).alias("_doc"),
+        F.struct(*[F.col(c) for c in keep]).alias("_doc"),
         F.flatten(F.array(*[_proposals(i, k, whole) for i, k in enumerate(kinds)])).alias("_all"),
     )
     return _placed(wide, kinds)
