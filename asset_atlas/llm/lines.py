@@ -8,7 +8,7 @@ live runs gives its exact count, so no batch rereads earlier documents.
 
 Defined cases: null or empty text is one empty line; null ids count as the smallest id; each row
 counts as a document, and rows that share the largest id all keep their lines; an empty table gives
-an empty result; other columns pass through, names beginning with an underscore excepted.
+an empty result; other columns pass through, those with a leading underscore are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, stored
-from .rows import BLANKS, whole_text
+from .rows import BLANKS, carried, whole_text
 
 BATCHES = 4
 FAN_IN = 2
@@ -45,23 +45,20 @@ def _hashes(key: Column) -> list[Column]:
 
 
 def line_rows(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(_doc, _sum, place, h1, h2) of every line whose key is long enough."""
-    lines = docs.select(*_row_key(text), F.posexplode(F.split(whole_text(text), "\n")).alias("place", "line"))
+    """(_row, _doc, _sum, place, h1, h2) of every line whose key is long enough; _row tells rows apart."""
+    lines = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
+        *_row_key(text),
+        F.posexplode(F.split(whole_text(text), "\n")).alias("place", "line"),
+    )
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
-    return keyed.select("_doc", "_sum", "place", *_hashes(F.col("key")))
+    return keyed.select("_row", "_doc", "_sum", "place", *_hashes(F.col("key")))
 
 
-def batch_runs(docs: DataFrame, batches: int, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def batch_runs(lines: DataFrame, batches: int) -> DataFrame:
     """(batch, h1, h2, n_docs, max_doc): what each batch of documents adds, summed per key."""
-    keys = F.array_distinct(
-        F.filter(F.transform(F.split(whole_text(text), "\n"), line_key), lambda k: F.length(k) >= min_chars)
-    )
-    rows = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"),
-        _row_key(text)[0],
-        F.explode(keys).alias("key"),
-    )
-    return rows.groupBy("batch", *_hashes(F.col("key"))).agg(
+    once = lines.groupBy("_row", "h1", "h2").agg(F.first("_doc").alias("_doc"))
+    return once.groupBy(F.pmod(F.xxhash64("_doc"), F.lit(batches)).cast("int").alias("batch"), "h1", "h2").agg(
         F.count("*").alias("n_docs"), F.max("_doc").alias("max_doc")
     )
 
@@ -117,10 +114,9 @@ class RunFamily:
         return merged(self.runs())
 
 
-def build_family(docs: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN, text: str = "text",
-                 min_chars: int = MIN_CHARS) -> RunFamily:
-    """Feed the documents to a family batch by batch; they are read once."""
-    parts = stored(batch_runs(docs, batches, text, min_chars), "line-batches", "batch")
+def build_family(lines: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -> RunFamily:
+    """Feed line rows to a family batch by batch; they are read once."""
+    parts = stored(batch_runs(lines, batches), "line-batches", "batch")
     family = RunFamily(fan_in)
     for b in range(batches):
         family.add(parts.filter(F.col("batch") == b).drop("batch"))
@@ -134,12 +130,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
 
     A key found in ``min_docs`` documents or more keeps its lines only in the largest id.
     """
-    family = build_family(docs, batches, fan_in, text, min_chars)
+    docs = carried(docs)
+    lines = stored(line_rows(docs, text, min_chars), "line-rows")
+    family = build_family(lines, batches, fan_in)
     totals = family.totals().filter(F.col("n_docs") >= min_docs)
     spread = stored(totals, "line-spread")
     n = sum(run.agg(F.sum("n_docs")).first()[0] or 0 for run in family.runs())
     hot = F.col("n_docs") >= max(1000, int(n * HOT_SHARE))
-    lines = line_rows(docs, text, min_chars)
     # at most 1 / HOT_SHARE keys reach the hot bound, so their side has a proven size
     common = lines.join(F.broadcast(spread.filter(hot)), ["h1", "h2"])
     rare = lines.join(spread.filter(~hot), ["h1", "h2"])
