@@ -301,8 +301,13 @@ def _other_pairs(nodes: DataFrame, members: DataFrame, label: DataFrame, tested:
 def _crossing(rows: DataFrame, lost: str, least: float) -> DataFrame:
     """Pairs at a key of different classes whose sizes less ``lost`` allow a link.
 
-    Every such pair has a side outside the key's largest class, so only those rows meet all others.
+    Keys held by the same texts lead to the same pairs, so one of them is used. Every pair has a
+    side outside the key's largest class, so only those rows meet all others.
     """
+    marks = [F.count("*"), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node"))]
+    holders = rows.groupBy("key").agg(*[m.alias(f"m{i}") for i, m in enumerate(marks)])
+    one = holders.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key")
+    rows = rows.join(one, "key", "left_semi")
     main = rows.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
     known = rows.join(main.select("key", F.col("main.class").alias("main")), "key")
