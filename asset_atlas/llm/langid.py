@@ -120,7 +120,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
     data = []
     for label, b, n in rows:
         x = np.log1p(n) * idf[b]
-        data.append((labels.index(label), b, x / max(np.sqrt((x * x).sum()), 1e-12)))
+        # narrow numbers: the whole sample is on the driver here
+        data.append((labels.index(label), b.astype(np.int32), (x / max(np.sqrt((x * x).sum()), 1e-12)).astype(np.float32)))
     turn = np.random.default_rng(7).permutation(len(data))
     kept = max(1, len(data) * 4 // 5)
     train, hold = turn[:kept], turn[kept:]
@@ -219,4 +220,4 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", per_class: i
 
     got = rows.filter(cut).mapInArrow(run, "label string, b binary, n binary, h bigint").collect()
     got.sort(key=lambda r: (r["h"], r["label"], r["b"], r["n"]))
-    return fit([(r["label"], unpack(r["b"], np.uint16).astype(np.int64), unpack(r["n"], np.uint32)) for r in got])
+    return fit([(r["label"], unpack(r["b"], np.uint16), unpack(r["n"], np.uint32)) for r in got])
