@@ -1,17 +1,17 @@
 """MinHash near-dedup with ProbMinHash signatures, banding and verification.
 
-Each distinct shingle of five words is a Poisson process whose rate is its weight, 1 + ln(count); its
-arrivals fall on registers at random and a register keeps its earliest arrival. A text's processes
-stop once their next arrival lies behind all its registers. The share of equal registers estimates
-the probability Jaccard of the weighted shingles, and 32 bands of four registers miss a pair at 0.8
-with a chance under 1e-7.
+Each distinct shingle of five words is a Poisson process of rate one, however often it stands in the
+text; its arrivals fall on registers at random and a register keeps its earliest arrival. A text's
+processes stop once their next arrival lies behind all its registers. Two texts agree in a register
+with a chance equal to the set Jaccard of their shingles, the measure of a link, and 32 bands of four
+registers miss a pair at 0.8 with a chance under 1e-7.
 
 Texts of the same words are one node from the start. In a band's bucket, members are first held
 against its two leaders, the most central node and the one of the smallest id, so a bucket of K copies costs
 2 K candidates; buckets whose members then share a class are done. Of the pairs left between
-different classes those are formed whose rarest and own shingles allow a link, and verified if their
-signatures come near. A link is
-a set Jaccard of 0.8 or more; classes are the connected components of the links.
+different classes those are formed whose rarest and own shingles allow a link. Every candidate whose
+numbers of shingles allow a link is verified on its texts. A link is a set Jaccard of 0.8 or more;
+classes are the connected components of the links.
 
 Defined cases: null and empty texts have no shingle and stay alone; texts of one to four words are
 one shingle of all their words; rows with the same id and text count as one document; a null id is
@@ -42,23 +42,20 @@ SIMILARITY = 0.8
 FEW = 32
 REGISTERS = 128
 BANDS = 32
-#: share of equal registers below which a pair is not verified, 3.5 standard deviations under a link's
-LEAST_ESTIMATE = 0.68
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
 
-def weighted_shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle, count) of a chunk, ordered by document then shingle."""
+def distinct_shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of a chunk, ordered by document then shingle."""
     doc, h = shingles(words(chunk), SHINGLE)
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     fresh = np.ones(len(doc), dtype=bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    first = np.flatnonzero(fresh)
-    return doc[first], h[first], np.diff(first, append=len(doc))
+    return doc[fresh], h[fresh]
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
@@ -96,13 +93,14 @@ def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word-sequence hashes, signature and band keys of each text; null where it has no word."""
+    """Word-sequence hashes, number of shingles and band keys of each text; null where it has no word."""
     for batch in batches:
         for chunk in chunks(batch.column("_text")):
             n = chunk.last - chunk.first
             w = words(chunk)
-            doc, h, count = weighted_shingles(chunk)
-            who = signatures(doc, h, 1 + np.log(count), n)
+            doc, h = distinct_shingles(chunk)
+            # one weight for all: a link is a set Jaccard, so repeats inside a text must not count
+            who = signatures(doc, h, np.ones(len(h)), n)
             size = np.bincount(w.doc, minlength=n)
             place = np.arange(len(w.doc)) - (np.cumsum(size) - size)[w.doc]
             exact = []
@@ -113,18 +111,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edge = np.concatenate([[0], np.cumsum(size)])
                 exact.append(mix(total[edge[1:]] - total[edge[:-1]]).view(np.int64))
             none = size == 0
-            sig = (who & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             keys = band_keys(who).view(np.int64)
-
-            def lists(x: np.ndarray, kind: pa.DataType, n: int = n, none: np.ndarray = none) -> pa.Array:
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1])
-                return pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), kind), mask=pa.array(none))
-
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1])
+            bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()), mask=pa.array(none))
             piece = batch.slice(chunk.first, n)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("_doc"), piece.column("_sum"), pa.array(exact[0], mask=none),
-                 pa.array(exact[1], mask=none), lists(sig, pa.int32()), lists(keys, pa.int64())],
-                names=["_doc", "_sum", "s1", "s2", "sig", "bands"],
+                 pa.array(exact[1], mask=none), pa.array(np.bincount(doc, minlength=n), pa.int64()), bands],
+                names=["_doc", "_sum", "s1", "s2", "size", "bands"],
             )
 
 
@@ -135,7 +129,7 @@ def _row_key(text: str) -> list[Column]:
 
 def describe(docs: DataFrame, text: str = "text") -> DataFrame:
     source = docs.select(*_row_key(text), F.col(text).alias("_text"))
-    fields = "_doc bigint, _sum bigint, s1 bigint, s2 bigint, sig array<int>, bands array<bigint>"
+    fields = "_doc bigint, _sum bigint, s1 bigint, s2 bigint, size bigint, bands array<bigint>"
     return source.mapInArrow(_describe, fields)
 
 
@@ -145,7 +139,7 @@ def _jaccards(left: pa.Array, right: pa.Array) -> np.ndarray:
     def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         docs, hs = [], []
         for c in chunks(column):
-            doc, h, _ = weighted_shingles(c)
+            doc, h = distinct_shingles(c)
             docs.append(doc + c.first)
             hs.append(h)
         return np.concatenate([*docs, np.zeros(0, int)]), np.concatenate([*hs, np.zeros(0, _U)])
@@ -172,17 +166,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The (u, v) pairs of nodes whose signatures come near and whose shingles reach ``least``."""
-    sig = nodes.select("node", "sig", "_doc", "_sum")
+    """The (u, v) pairs of nodes whose shingles reach ``least``.
+
+    A Jaccard is at most the smaller number of shingles over the larger, so pairs below that are left out.
+    """
     side = {
-        x: sig.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("_doc").alias(f"doc_{x}"),
-                      F.col("_sum").alias(f"sum_{x}"))
+        x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("_doc").alias(f"doc_{x}"),
+                        F.col("_sum").alias(f"sum_{x}"))
         for x in "uv"
     }
-    same = F.filter(F.zip_with("sig_u", "sig_v", lambda a, b: a == b), lambda e: e)
     near = pairs.join(side["u"], "u").join(side["v"], "v").filter(
-        F.size(same) >= int(LEAST_ESTIMATE * REGISTERS)
-    ).drop("sig_u", "sig_v")
+        F.least("size_u", "size_v") / F.greatest("size_u", "size_v") >= least
+    ).drop("size_u", "size_v")
     for x in "uv":
         near = near.join(
             texts.select(F.col("_doc").alias(f"doc_{x}"), F.col("_sum").alias(f"sum_{x}"),
@@ -212,7 +207,7 @@ def _shingle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     base, number = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         for c in chunks(batch.column("_text")):
-            doc, h, _ = weighted_shingles(c)
+            doc, h = distinct_shingles(c)
             row = [base + number, batch.column("node").slice(c.first, c.last - c.first).to_pylist(), len(h),
                    pack(np.diff(doc, prepend=0).astype(np.uint32)), pack(h)]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
@@ -333,9 +328,9 @@ def classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> D
     # the first row of the same words stands for all; its place in the table numbers it
     first = F.min(F.struct("_doc", "_sum"))
     heads = rows.filter("s1 is not null").groupBy("s1", "s2").agg(
-        first.alias("h"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        first.alias("h"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stored(
-        heads.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "h.*", "sig", "bands"), "near-nodes")
+        heads.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "h.*", "size", "bands"), "near-nodes")
     buckets = nodes.select("node", "_doc", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(buckets.join(shared, "key"), "near-members")

@@ -109,6 +109,22 @@ def test_near_classes_match_brute_force(spark):
     assert sum(r["is_head"] for r in got) == len(set(want.values()))
 
 
+def test_near_copies_with_repeats_inside_them(spark):
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    docs = []
+    for i in range(24):
+        body, passage, other = prose(200), prose(60), prose(40)
+        docs.append((2 * i, " ".join(body + passage + other * (i % 2))))
+        docs.append((2 * i + 1, " ".join(body + passage * (40 + 40 * (i % 3)) + other * (60 * (i % 2)))))
+    # repeats of all words leave the set as it is; different passages do not make a link
+    docs += [(100, " ".join(base := prose(90))), (101, " ".join(base * 30)), (102, " ".join(base[:60] + prose(30)))]
+    want = near_classes(docs)
+    assert sum(i != c for i, c in want.items()) == 25
+    got = near.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r["_doc"]: r["class_id"] for r in got} == want
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(5)
     h = rows.mix(np.arange(1, 301, dtype=np.uint64))
