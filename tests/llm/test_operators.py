@@ -233,6 +233,34 @@ def test_targets_are_met(spark):
     assert all(abs(shares[k] - x) < 1e-6 for k, x in {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}.items())
 
 
+def test_three_margins_are_met_together(spark):
+    # source c alone holds language z: after eight sweeps a share is still a tenth off
+    words_in = {("a", "x"): 4000, ("a", "y"): 100, ("b", "x"): 100, ("b", "y"): 3000, ("c", "z"): 500, ("c", "x"): 800}
+    docs = [(i, "w " * n + tail, source, lang) for i, ((source, lang), n, tail) in enumerate(
+        (k, n, tail) for k, n in words_in.items() for tail in ("", "| a | b | c | d"))]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string")
+    # "none" holds no words: the others are rescaled
+    want = {"source": {"a": 0.2, "b": 0.2, "c": 0.4, "none": 0.2}, "lang": {"x": 0.35, "y": 0.35, "z": 0.3},
+            "topic": {"prose": 0.6, "table": 0.4}}
+    goals = {m: spark.createDataFrame(list(t.items()), f"{m} string, _target double") for m, t in want.items()}
+    mixed = mixing.mix_sources(docs, targets=goals, share=1.0).toPandas()
+    mixed["drawn"] = mixed["_rate"] * mixed["_n_words"]
+    assert abs(mixed["drawn"].sum() / mixed["_n_words"].sum() - 1) < 1e-4
+    want["source"] = {"a": 0.25, "b": 0.25, "c": 0.5}
+    for m, t in want.items():
+        got = mixed["drawn"].groupby(mixed["_topic" if m == "topic" else m]).sum() / mixed["_n_words"].sum()
+        assert all(abs(got[v] / x - 1) < 0.0101 for v, x in t.items()), (m, got)
+
+
+def test_contradicting_targets_are_reported(spark):
+    docs = spark.createDataFrame([(1, "w w w", "a", "x"), (2, "w w", "b", "y")],
+                                 "doc_id bigint, text string, source string, lang string")
+    goals = {m: spark.createDataFrame([(v, 0.9), (w, 0.1)], f"{m} string, _target double")
+             for m, v, w in (("source", "a", "b"), ("lang", "y", "x"))}
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.mix_sources(docs, margins=["source", "lang"], targets=goals)
+
+
 def test_run_family_levels(spark):
     family = lines.RunFamily(fan_in=2)
     for b in range(5):
