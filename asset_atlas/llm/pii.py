@@ -33,6 +33,26 @@ class Kind(NamedTuple):
     near: str
 
 
+#: characters of an account number by country, as the registry of ISO 13616 prescribes them
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An account of its country's length, so that words behind it stay outside, else of any length."""
+    ways = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        ways.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    ways.append(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
+    return rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(ways)})"
+
+
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 
 KINDS = [
@@ -41,7 +61,7 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.7, "ip|host|server|address|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", True, 0.8, "card|visa|credit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.7, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", False, 0.8,
+    Kind("iban", _iban(), "", False, 0.8,
          "iban|bank|account|konto|compte|cuenta"),
 ]
 

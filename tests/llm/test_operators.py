@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from asset_atlas.llm import decontam, lines, lm, mixing, near, pii, queries, rows, rules, substrings
 from tests.oracle import compare, connect
@@ -224,6 +225,21 @@ def test_spans_in_awkward_places(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_accounts_end_where_their_country_says(spark):
+    cases = {
+        "ES91 2100 0418 4502 0005 1332 BIC ABCD": "iban:0:29",
+        "AT61 1904 3002 3457 3201 BIC": "iban:0:24",
+        "BE68 5390 0754 7034 X1": "iban:0:19",
+        "SE45 5000 0000 0583 9825 7466 ES91 2100 0418 4502 0005 1332 OK": "iban:0:29,iban:30:59",
+        "ES9121000418450200051332 DE89370400440532013000 AB": "iban:0:24,iban:25:47",
+        "ES91 2100 0418 4502 0005 1333 BIC": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    iban = [k for k in pii.KINDS if k.name == "iban"]
+    got = {r["doc_id"]: r["found"] for r in pii.find_spans(docs, kinds=iban).select("doc_id", pii.digest(F.col("found"), iban).alias("found")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_targets_are_met(spark):
     docs = rows.documents(spark, SF)
     goal = spark.createDataFrame([("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)], "lang string, _target double")
