@@ -5,6 +5,8 @@ Each round is written to the shared folder, so a lost executor replays one round
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions.fingerprint import hamming_bits
 from ..session import discard, stored
 
 MAX_ROUNDS = 200
+#: tables of claimed nodes before they are written as one
+CLAIM_TABLES = 16
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -101,37 +105,37 @@ def greedy_star(edges: DataFrame, block: list[str]) -> DataFrame:
     """Greedy star clustering: (``block``, anchor, variant) for every claimed node.
 
     ``edges``: ``block``, hi, lo, hi_rank (a sortable struct, smaller first). hi outranks lo.
-    Anchors are the lexicographically first maximal independent set: in each round a node without
-    an undecided better neighbour becomes an anchor and its worse neighbours drop out. Afterwards
-    every variant goes to its best-ranked adjacent anchor over the full edge list.
+    Anchors are the lexicographically first maximal independent set: in each round the neighbours of
+    nodes without an undecided better neighbour are claimed and leave with their edges. A node that
+    was never claimed is an anchor, also when it lost its last edge in the round that freed it.
+    Afterwards every variant goes to its best-ranked adjacent anchor over the full edge list.
     """
     edges = stored(edges.select(*block, "hi", "lo", "hi_rank"), "star-edges")
-    anchors: DataFrame | None = None
-    work = edges
-    for _ in range(MAX_ROUNDS * 50):
+    claimed: list[DataFrame] = []
+    work = edges.select(*block, "hi", "lo")
+    for turn in range(MAX_ROUNDS * 50):
         if work.isEmpty():
             break
         better = work.select(*block, F.col("lo").alias("hi")).distinct()
-        found = stored(
-            work.select(*block, "hi").distinct().join(better, [*block, "hi"], "left_anti"), "star-anchors"
-        )
-        # one table of anchors per round, so the plan does not grow with the rounds
-        anchors = found if anchors is None else stored(anchors.unionByName(found), "star-anchors")
-        gone = work.join(found, [*block, "hi"], "left_semi").select(*block, "lo").distinct()
+        free = work.join(better, [*block, "hi"], "left_anti")
+        gone = stored(free.select(*block, "lo").distinct(), "star-claimed")
         last, work = work, stored(
             work.join(gone, [*block, "lo"], "left_anti").join(
                 gone.withColumnRenamed("lo", "hi"), [*block, "hi"], "left_anti"
             ),
             "star-work",
         )
-        if last is not edges:
+        if turn:
             discard(last)
+        claimed.append(gone)
+        if len(claimed) == CLAIM_TABLES:
+            # one table in place of many, so the plan does not grow with the rounds
+            claimed = [stored(reduce(DataFrame.unionByName, claimed), "star-claimed")]
     else:
         raise RuntimeError("stars were not settled in the allowed rounds")
-    if anchors is None:
-        anchors = edges.select(*block, "hi")
+    taken = reduce(DataFrame.unionByName, claimed) if claimed else edges.select(*block, "lo").limit(0)
     return (
-        edges.join(anchors, [*block, "hi"], "left_semi")
+        edges.join(taken.withColumnRenamed("lo", "hi"), [*block, "hi"], "left_anti")
         .groupBy(*block, "lo")
         .agg(F.min_by("hi", "hi_rank").alias("anchor"))
         .select(*block, "anchor", F.col("lo").alias("variant"))

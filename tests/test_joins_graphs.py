@@ -145,11 +145,20 @@ def greedy(nodes, edges):
     return claimed
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_greedy_star(spark, seed):
+def test_greedy_star_keeps_an_anchor_that_loses_its_edges(spark):
+    # ranks X 1, B 2, A 3, D 4, C 5: A is freed in the round in which D claims C
+    edges = {(1, 2), (2, 3), (3, 5), (4, 5)}
+    df = spark.createDataFrame([(1, a, b) for a, b in edges], "source_id bigint, hi bigint, lo bigint")
+    df = df.withColumn("hi_rank", F.struct(F.col("hi").alias("r")))
+    got = {r["variant"]: r["anchor"] for r in greedy_star(df, ["source_id"]).collect()}
+    assert got == {2: 1, 5: 3} == greedy([1, 2, 3, 4, 5], edges)
+
+
+@pytest.mark.parametrize("seed,size,density", [(1, 30, 0.12), (2, 30, 0.12), (3, 220, 0.01), (4, 220, 0.03), (5, 220, 0.15)])
+def test_greedy_star(spark, seed, size, density):
     rng = random.Random(seed)
-    nodes = list(range(30))
-    edges = {(a, b) for a in nodes for b in nodes if a < b and rng.random() < 0.12}
+    nodes = list(range(size))
+    edges = {(a, b) for a in nodes for b in nodes if a < b and rng.random() < density}
     df = spark.createDataFrame([(1, a, b) for a, b in edges], "source_id bigint, hi bigint, lo bigint")
     df = df.withColumn("hi_rank", F.struct(F.col("hi").alias("r")))
     got = {r["variant"]: r["anchor"] for r in greedy_star(df, ["source_id"]).collect()}
