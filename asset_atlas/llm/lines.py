@@ -6,8 +6,8 @@ anti-join and start a run of their own together with the increments of known key
 ``fan_in`` runs stand on a level they are compacted into one run of the next. Summing a key over the
 live runs gives its exact count, so no batch rereads earlier documents.
 
-Defined cases: null or empty text is one empty line; null ids count as the smallest id; each row
-counts as a document, and rows that share the largest id all keep their lines; an empty table gives
+Defined cases: null or empty text is one empty line; a line repeated inside one document counts it
+once; null ids count as the smallest id; each row counts as a document, and rows that share the largest id all keep their lines; an empty table gives
 an empty result; other columns pass through, those with a leading underscore are left out.
 """
 
@@ -46,11 +46,9 @@ def _hashes(key: Column) -> list[Column]:
 
 def line_rows(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(_row, _doc, _sum, place, h1, h2) of every line whose key is long enough; _row tells rows apart."""
-    lines = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        *_row_key(text),
-        F.posexplode(F.split(whole_text(text), "\n")).alias("place", "line"),
-    )
+    # rows are numbered below the explode: beside it, each line would get a number of its own
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *_row_key(text), whole_text(text).alias("_text"))
+    lines = numbered.select("_row", "_doc", "_sum", F.posexplode(F.split("_text", "\n")).alias("place", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
     return keyed.select("_row", "_doc", "_sum", "place", *_hashes(F.col("key")))
 
