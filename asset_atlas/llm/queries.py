@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, lm, mixing, near, pii, quality, rules, substrings
+from ..session import stored
+from . import decontam, langid, lines, lm, mixing, near, packing, pii, quality, rules, substrings
 from .queries_sql import ORACLES  # noqa: F401
 from .rows import documents, id_fold
 
@@ -83,4 +84,17 @@ def op10_substrings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_lm, op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam, op10_substrings)}
+def op13_packing(spark: SparkSession, d: str) -> DataFrame:
+    table = stored(packing.pieces(documents(spark, d).select("doc_id", "text")), "packing-pieces")
+    digest = table.withColumn("ids_crc32", F.crc32("_ids")).drop("_ids")
+    return packing.packed(digest).select(
+        "doc_id", F.col("_piece").alias("piece"), F.col("_start").alias("start"), F.col("_length").alias("length"),
+        "ids_crc32", F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset"),
+    )
+
+
+_ALL = (
+    op1_lm, op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam,
+    op10_substrings, op13_packing,
+)
+QUERIES = {q.__name__: q for q in _ALL}

@@ -114,8 +114,11 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words(chunk: Chunk, lower: bool = True) -> Words:
-    """Maximal runs of non-blank bytes, A-Z lowered before hashing when asked for."""
+def words(chunk: Chunk, lower: bool = True, kinds: np.ndarray | None = None) -> Words:
+    """Maximal runs of non-blank bytes, A-Z lowered before hashing when asked for.
+
+    ``kinds`` numbers byte values; a run is also cut between two bytes of different kinds above 0.
+    """
     data = _LOWER[chunk.data] if lower else chunk.data
     n = len(data)
     if n == 0:
@@ -128,6 +131,11 @@ def words(chunk: Chunk, lower: bool = True) -> Words:
     opens[1:] &= ~solid[:-1] | fresh[1:n]
     closes = solid.copy()
     closes[:-1] &= ~solid[1:] | fresh[1:n]
+    if kinds is not None:
+        kind = kinds[data]
+        turn = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        opens[1:] |= turn
+        closes[:-1] |= turn
     start = np.flatnonzero(opens)
     end = np.flatnonzero(closes) + 1
     doc = np.searchsorted(chunk.offsets, start, side="right") - 1
