@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import decontam, langid, lines, lm, mixing, near, packing, pii, quality, rules, spelling, substrings
+from . import decontam, langid, lines, lm, mixing, near, packing, pii, quality, ranking, rules, spelling, substrings
 from .queries_sql import ORACLES  # noqa: F401
 from .rows import documents, id_fold
 
@@ -84,6 +84,12 @@ def op10_substrings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_ranking(spark: SparkSession, d: str) -> DataFrame:
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text")
+    index = ranking.build_index(documents(spark, d).select("doc_id", "text"))
+    return ranking.search(index, items).select("item_id", "rank", "doc_id", "score")
+
+
 def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
     return spelling.variants(documents(spark, d).select("doc_id", "text")).select(
         "word", "n", "n_near", "form", "form_n", "root")
@@ -100,6 +106,6 @@ def op13_packing(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     op1_lm, op2_pii, op3_mixing, op4_quality, op5_rules, op6_lines, op7_near, op8_langid, op9_decontam,
-    op10_substrings, op12_spelling, op13_packing,
+    op10_substrings, op11_ranking, op12_spelling, op13_packing,
 )
 QUERIES = {q.__name__: q for q in _ALL}

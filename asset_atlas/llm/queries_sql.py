@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, pii, rules
+from . import lines, mixing, pii, ranking, rules
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -191,9 +191,41 @@ FROM z
 """
 
 
+def ranking_sql() -> str:
+    terms = (
+        r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    )
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {terms} AS t FROM documents WHERE text IS NOT NULL
+), total AS (
+  SELECT count(*) AS n, coalesce(sum(len(t)), 0)::BIGINT AS l FROM d WHERE len(t) > 0
+), q AS MATERIALIZED (
+  SELECT i, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS i, item_id, unnest({terms}) AS term FROM benchmark WHERE text IS NOT NULL)
+  GROUP BY ALL
+), hit AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM hit, total GROUP BY term
+), m AS (
+  SELECT r, doc_id, {ranking.FLAT} + ({ranking.BY_LENGTH} * len(t) * n) // l AS m FROM d, total WHERE len(t) > 0
+), s AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN hit USING (term) JOIN m USING (r) GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+WHERE rank <= {ranking.BEST}
+"""
+
+
 ORACLES = {
     "op2_pii": pii_sql(),
     "op3_mixing": mixing_sql(),
     "op5_rules": rules_sql(),
     "op6_lines": lines_sql(),
+    "op11_ranking": ranking_sql(),
 }

@@ -114,17 +114,19 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words(chunk: Chunk, lower: bool = True, kinds: np.ndarray | None = None) -> Words:
+def words(chunk: Chunk, lower: bool = True, kinds: np.ndarray | None = None,
+          inside: np.ndarray | None = None) -> Words:
     """Maximal runs of non-blank bytes, A-Z lowered before hashing when asked for.
 
     ``kinds`` numbers byte values; a run is also cut between two bytes of different kinds above 0.
+    ``inside`` marks the byte values of a word where these are not all but blanks.
     """
     data = _LOWER[chunk.data] if lower else chunk.data
     n = len(data)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return Words(none, none, none, none.astype(_U))
-    solid = ~_SPACE[data]
+    solid = ~_SPACE[data] if inside is None else inside[data]
     fresh = np.zeros(n + 1, dtype=bool)
     fresh[chunk.offsets] = True
     opens = solid.copy()
