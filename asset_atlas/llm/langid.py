@@ -1,7 +1,7 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 The model is fitted on a bounded sample: about ``PER_CLASS`` labelled rows of each language, chosen
-by the hash of the id, come to the driver as n-gram counts. Fitting is follow-the-regularised-leader
+by the hash of the id, come to the driver as n-gram counts; over ``MOST_LANGUAGES`` are refused. Fitting is follow-the-regularised-leader
 with an L1 and an L2 penalty per row; a fifth of the sample is held back to set the temperature.
 Scoring reads every whole text inside an Arrow map, a few array passes for a batch of documents.
 
@@ -30,6 +30,10 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
+#: texts scored at a time; their grams take some thirty bytes for each byte of text
+SCORE_BYTES = 256 << 10
+#: more languages than this are refused, as the sample on the driver grows with them
+MOST_LANGUAGES = 500
 
 _U = np.uint64
 
@@ -162,11 +166,13 @@ def score_chunk(chunk: Chunk, model: Model) -> tuple[np.ndarray, np.ndarray]:
     n_docs = len(g.has_letter)
     best, prob = np.full(n_docs, -1), np.zeros(n_docs)
     if len(model.labels) and len(g.doc):
-        x = np.log1p(g.count) * model.idf[g.bucket]
+        x = (np.log1p(g.count) * model.idf[g.bucket]).astype(np.float32)
         first = np.flatnonzero(np.concatenate([[True], g.doc[1:] != g.doc[:-1]]))
         who = g.doc[first]
         norm = np.sqrt(np.add.reduceat(x * x, first))
-        z = np.add.reduceat(x[:, None] * model.weights[g.bucket], first, axis=0) / norm[:, None]
+        # one language at a time: no table of all grams by all languages
+        z = np.stack([np.add.reduceat(x * model.weights[g.bucket, k], first) for k in range(len(model.labels))], axis=1)
+        z = z.astype(np.float64) / norm[:, None]
         p = _softmax((z + model.bias) / model.temperature)
         best[who], prob[who] = p.argmax(axis=1), p.max(axis=1)
     best[~g.has_letter], prob[~g.has_letter] = -1, 0.0
@@ -180,7 +186,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [score_chunk(ch, model) for ch in chunks(batch.column("_text"))]
+            parts = [score_chunk(ch, model) for ch in chunks(batch.column("_text"), SCORE_BYTES)]
             best = np.concatenate([p[0] for p in parts] or [np.zeros(0, int)])
             prob = np.concatenate([p[1] for p in parts] or [np.zeros(0)])
             columns = [batch.column(i) for i in range(len(keep))]
@@ -197,6 +203,8 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", per_class: i
     rows = docs.filter(F.col(label).isNotNull() & (id_fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     rows = rows.select(F.col(label).alias("label"), F.col(text).alias("_text"), F.xxhash64("doc_id").alias("_h"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} languages; the sample is bounded for {MOST_LANGUAGES}")
     # a row is taken when its hash falls in its language's share of the hash range
     cut = F.lit(False)
     for name, n in sorted(counts.items()):
