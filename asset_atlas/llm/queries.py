@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from . import decontam, langid, lines, lm, mixing, near, packing, pii, quality, ranking, rules, spelling, substrings
 from .queries_sql import ORACLES  # noqa: F401
-from .rows import documents, id_fold
+from .rows import documents, id_fold, whole_text
 
 
 def op1_lm(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +75,21 @@ def op9_decontam(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, d: str) -> DataFrame:
-    return substrings.remove_repeats(documents(spark, d).select("doc_id", "text"), keep=["doc_id"]).select(
-        "doc_id",
+    docs = documents(spark, d).select("doc_id", "text")
+    # rows of one text and id have the same passages, so they are matched by both
+    digest = docs.withColumn("digest", F.xxhash64(whole_text()))
+    passages = substrings.repeated_passages(digest, keep=["doc_id", "digest"]).filter(F.size("_passages") > 0).distinct()
+    cut = substrings.remove_repeats(digest, keep=["doc_id", "digest"])
+    same = cut["doc_id"].eqNullSafe(passages["doc_id"]) & (cut["digest"] == passages["digest"])
+    words = F.aggregate("_passages", F.lit(0).cast("long"), lambda n, p: n + p["last"] - p["first"])
+    return cut.join(passages, same, "left").select(
+        cut["doc_id"],
         F.col("_n_bytes").alias("n_bytes"),
         F.col("_n_removed").alias("n_removed"),
         F.col("_n_spans").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"),
+        F.coalesce(F.size("_passages"), F.lit(0)).cast("long").alias("n_passages"),
+        F.coalesce(words, F.lit(0)).alias("n_passage_words"),
     )
 
 

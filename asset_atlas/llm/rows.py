@@ -65,10 +65,10 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any byte range follows with two lookups."""
+    """Prefix sums from which the hash of any range of bytes, or of 64-bit symbols, follows with two lookups."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=out[1:])
+    np.cumsum((_TABLE[data] if data.dtype == np.uint8 else mix(data)) * up[: len(data)], out=out[1:])
     return out
 
 

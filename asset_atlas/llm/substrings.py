@@ -10,6 +10,9 @@ A neighbourhood found twice is repeated as a whole. Where different neighbourhoo
 bytes, the strings of one copy of each are compared one by one by their own hashes. A string is told
 by a 64-bit hash of all its bytes.
 
+The same family finds repeated passages by words: there a symbol is the hash of a word and a string is 51
+of them, so a passage counts whatever its bytes.
+
 Defined cases: null and empty texts have no bytes; texts under 400 bytes keep all; a repeated row
 is another place of all its strings; ids may be null or repeat; an empty table gives an empty
 result; other columns pass through, those with a leading underscore are left out.
@@ -17,7 +20,8 @@ result; other columns pass through, those with a leading underscore are left out
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, stored
 from . import exchange
-from .rows import Chunk, carried, chunks, mix, pack, prefix_hash, range_hash, unpack, whole_text
+from .rows import Chunk, carried, chunks, mix, pack, prefix_hash, range_hash, unpack, whole_text, words
 
 LENGTH = 400
 PREFIX = 128
@@ -44,6 +48,25 @@ SPANS = "_doc bigint, _sum bigint, spans array<bigint>"
 _U = np.uint64
 
 
+def _as_words(chunk: Chunk) -> Chunk:
+    """The chunk with a symbol per word."""
+    w = words(chunk)
+    return Chunk(chunk.first, chunk.last, w.hash, np.searchsorted(w.doc, np.arange(chunk.last - chunk.first + 1)))
+
+
+class Grain(NamedTuple):
+    """Strings of ``length`` symbols, sampled by ``prefix`` of them; ``symbols`` turns a chunk's bytes into symbols."""
+
+    length: int
+    prefix: int
+    symbols: Callable[[Chunk], Chunk]
+
+
+BYTES = Grain(LENGTH, PREFIX, lambda chunk: chunk)
+#: passages of over 50 words
+WORDS = Grain(51, 16, _as_words)
+
+
 def _row_key(text: str) -> list[Column]:
     return [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(whole_text(text)).alias("_sum")]
 
@@ -93,7 +116,7 @@ def sampled(chunk: Chunk, length: int = LENGTH, prefix: int = PREFIX) -> tuple[n
     return text, first - base, last - base, suffix, place
 
 
-def _sample(batches_of: int):
+def _sample(batches_of: int, grain: Grain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
@@ -114,7 +137,7 @@ def _sample(batches_of: int):
         for batch in batches:
             for c in chunks(batch.column("_text")):
                 rows = c.last - c.first
-                held.append((batch.column("_doc").slice(c.first, rows), batch.column("_sum").slice(c.first, rows), sampled(c)))
+                held.append((batch.column("_doc").slice(c.first, rows), batch.column("_sum").slice(c.first, rows), sampled(grain.symbols(c), grain.length, grain.prefix)))
                 size += len(c.data)
                 if size >= BLOCK_BYTES:
                     yield emit()
@@ -221,7 +244,7 @@ def _spread(ranges: np.ndarray) -> np.ndarray:
     return np.repeat(ranges[:, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _strings(length: int):
+def _strings(grain: Grain):
     """Hashes of the open strings of each text, gathered into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +263,7 @@ def _strings(length: int):
 
         for batch in batches:
             ranges = batch.column("open").to_pylist()
-            for c in chunks(batch.column("_text")):
+            for c in map(grain.symbols, chunks(batch.column("_text"))):
                 hashes = prefix_hash(c.data)
                 text, start = [], []
                 for i in range(c.last - c.first):
@@ -251,7 +274,7 @@ def _strings(length: int):
                 at = start + c.offsets[text]
                 rows = c.last - c.first
                 held.append((batch.column("_doc").slice(c.first, rows), batch.column("_sum").slice(c.first, rows),
-                             text, start, range_hash(hashes, at, at + length)))
+                             text, start, range_hash(hashes, at, at + grain.length)))
                 size += len(text)
                 if size >= 2_000_000:
                     yield emit()
@@ -300,6 +323,15 @@ def _settle(length: int):
     return run
 
 
+def merged(flat: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that flattened [start, end) spans cover."""
+    pairs = np.asarray(flat, dtype=np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(pairs[:, 1])
+    first = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
+    return pairs[first, 0], reach[np.append(first[1:], len(pairs)) - 1]
+
+
 def _cut_bytes(keep: int):
     """Adds byte counts and the bytes left to the first ``keep`` columns."""
 
@@ -316,12 +348,7 @@ def _cut_bytes(keep: int):
                         n_spans.append(0)
                         kept.append(data.tobytes())
                         continue
-                    pairs = np.asarray(flat, dtype=np.int64).reshape(-1, 2)
-                    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                    reach = np.maximum.accumulate(pairs[:, 1])
-                    first = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
-                    end = reach[np.append(first[1:], len(pairs)) - 1]
-                    start = pairs[first, 0]
+                    start, end = merged(flat)
                     lost = np.zeros(len(data) + 1, dtype=np.int32)
                     lost[start] += 1
                     lost[end] -= 1
@@ -344,26 +371,27 @@ def build_family(blocks: DataFrame, shards: int, batches: int = BATCHES, fan_in:
     return family
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
-    """(_doc, _sum, _spans): byte spans of repeated strings, unmerged, of the texts that have some."""
+def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES, fan_in: int = FAN_IN,
+                   grain: Grain = BYTES) -> DataFrame:
+    """(_doc, _sum, _spans): spans of repeated strings in symbols, unmerged, of the texts that have some."""
     source = docs.select(*_row_key(text), F.col(text).alias("_text"))
-    blocks = stored(source.mapInArrow(_sample(batches), BLOCK), "suffix-blocks")
+    blocks = stored(source.mapInArrow(_sample(batches, grain), BLOCK), "suffix-blocks")
     shards = exchange.shard_count(exchange.count_rows(blocks, "n"))
     family = build_family(blocks, shards, batches, fan_in)
     asked = blocks.mapInPandas(_arrays(shards, False), exchange.MESSAGE)
     answers = family.answer(asked)
-    marks = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_mark(LENGTH), MARKS)
+    marks = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_mark(grain.length), MARKS)
     marks = stored(marks, "suffix-marks")
     for used in (blocks, *family.live()):
         discard(used)
     open_ = marks.filter(F.size("open") > 0).select("_doc", "_sum", "open")
     strings = stored(
-        source.join(open_, ["_doc", "_sum"]).select("_doc", "_sum", "_text", "open").mapInArrow(_strings(LENGTH), STRING_BLOCK),
+        source.join(open_, ["_doc", "_sum"]).select("_doc", "_sum", "_text", "open").mapInArrow(_strings(grain), STRING_BLOCK),
         "suffix-strings")
     shards = exchange.shard_count(exchange.count_rows(strings, "n"))
     asked = strings.mapInPandas(_ask_strings(shards), exchange.MESSAGE)
     answers = exchange.by_shard(asked, exchange.sums(np.uint32, 1), exchange.ANSWER)
-    settled = strings.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_settle(LENGTH), SPANS)
+    settled = strings.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_settle(grain.length), SPANS)
     found = marks.filter(F.size("sure") > 0).select("_doc", "_sum", F.col("sure").alias("spans")).unionByName(settled)
     spans = found.groupBy("_doc", "_sum").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     spans = stored(spans, "suffix-spans")
@@ -385,3 +413,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     for name in ("_n_bytes", "_n_removed", "_n_spans"):
         schema = schema.add(name, "long")
     return wide.mapInArrow(_cut_bytes(len(keep)), schema.add("_kept", "binary"))
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", keep: list[str] | None = None, batches: int = BATCHES,
+                      fan_in: int = FAN_IN, grain: Grain = WORDS) -> DataFrame:
+    """``keep`` columns with ``_passages``, the maximal runs of words covered by strings of ``grain.length``
+    words that also start elsewhere, as (first, last + 1) word numbers; empty for texts without."""
+    docs = carried(docs)
+    keep = docs.columns if keep is None else keep
+    spans = repeated_spans(docs, text, batches, fan_in, grain)
+    runs_type = "array<struct<first:bigint,last:bigint>>"
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            runs = [list(zip(*(x.tolist() for x in merged(list(f))), strict=True)) for f in pdf["_spans"]]
+            yield pdf[["_doc", "_sum"]].assign(_passages=[[{"first": a, "last": b} for a, b in r] for r in runs])
+
+    found = spans.mapInPandas(run, f"_doc bigint, _sum bigint, _passages {runs_type}")
+    doc, total = _row_key(text)
+    wide = docs.select(*keep, doc, total).join(found, ["_doc", "_sum"], "left")
+    return wide.select(*keep, F.coalesce("_passages", F.array().cast(runs_type)).alias("_passages"))
