@@ -39,7 +39,7 @@ BEST = 10
 #: the length norm of a document: FLAT, and BY_LENGTH for a document of average length
 FLAT, BY_LENGTH = 100 - 75, 75
 #: a shard ends at either bound
-SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 14
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 14
 #: documents a block aims at; shorter lists are one block without a summary
 BLOCK_DOCS = 64
 SKETCH = 32
@@ -130,10 +130,12 @@ def shard_arrays(sizes: np.ndarray, term: np.ndarray, tf: np.ndarray, n_docs: in
     column = np.where(at < OWN, at, OWN + at % SHARED)
     wide = np.zeros((docs, OWN + SHARED), dtype=np.uint8)
     np.maximum.at(wide, (doc, column), (-(-impact // UNIT)).astype(np.uint8))
+    del by_list, column
     rare = np.log((1 + docs) / df)[at] * impact
     slot = (mix(known[order][at]) % _U(SKETCH)).astype(np.int64)
     sign = np.where((mix(known[order][at] + _U(1)) & _U(1)) == 0, 1.0, -1.0)
     sketch = np.bincount(doc * SKETCH + slot, weights=rare * sign, minlength=docs * SKETCH).reshape(docs, SKETCH)
+    del rare, slot, sign, doc
     sketch = (sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     blocks = np.zeros(len(known), dtype=np.int64)
     block_sizes, block_most, summaries = [], [], []
@@ -166,6 +168,7 @@ def _shards(n_docs: int, n_terms: int, shard_bytes: int):
 
         def emit() -> pa.RecordBatch:
             ids, sizes, term, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             got = shard_arrays(sizes, term, tf, n_docs, n_terms)
             row = [base + number, len(ids), ids.tolist(), *[pack(got[n].astype(t)) for n, t in FIELDS]]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
