@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import hamming_bits, phash_bits
 from ..functions.names import name_tokens, pixel_size_from_path, pixel_suffix
 from .match import first_per
-from .simjoin import hamming_query_join, jaccard_join
+from .simjoin import block_rows, by_growing_radius, growing_radii, hamming_query_join, jaccard_join
 
 NEAR_SVG, NEAR_RASTER, NEAR_LIMIT = 6, 10, 20
 FAMILY_SVG, FAMILY_RASTER, FAMILY_LIMIT = 16, 20, 15
@@ -22,8 +22,10 @@ def near_duplicates(
     raster: int = NEAR_RASTER,
     k: int = NEAR_LIMIT,
     bands: int | None = None,
+    radii: list[int] | None = None,
 ) -> DataFrame:
-    """Closest same-type assets of each subject; flat fingerprints are compared too."""
+    """Closest same-type assets of each subject; flat fingerprints are compared too. Subjects that a
+    small radius fills are not searched further."""
     block = ["source_id", "ext"]
 
     def nodes(df: DataFrame) -> DataFrame:
@@ -33,19 +35,27 @@ def near_duplicates(
 
     probe, pool = nodes(subjects), nodes(assets)
     copies = first_per(pool, [*block, "bits"], k + 1).drop("rank")
-    vector, other = F.col("ext") == "svg", F.col("ext") != "svg"
-    pairs = hamming_query_join(
-        probe.filter(vector), pool.filter(vector), svg, block
-    ).unionByName(
-        hamming_query_join(probe.filter(other), pool.filter(other), raster, block, bands)
-    )
-    hits = (
-        probe.withColumnsRenamed({"bits": "bits_a", "asset_id": "subject_id"})
-        .join(pairs, [*block, "bits_a"])
-        .join(copies.withColumnRenamed("bits", "bits_b"), [*block, "bits_b"])
-        .filter("subject_id <> asset_id")
-        .select("subject_id", "asset_id", "hamming")
-    )
+    vector = F.col("ext") == "svg"
+
+    def hits_at(asked: DataFrame, radius: int) -> DataFrame:
+        pairs = hamming_query_join(
+            asked.filter(vector), pool.filter(vector), min(radius, svg), block
+        ).unionByName(
+            hamming_query_join(asked.filter(~vector), pool.filter(~vector), min(radius, raster), block, bands)
+        )
+        return (
+            asked.withColumnsRenamed({"bits": "bits_a", "asset_id": "subject_id"})
+            .join(pairs, [*block, "bits_a"])
+            .join(copies.withColumnRenamed("bits", "bits_b"), [*block, "bits_b"])
+            .filter("subject_id <> asset_id")
+            .select("subject_id", "asset_id", "hamming")
+        )
+
+    def found(asked: DataFrame, radius: int) -> DataFrame:
+        return hits_at(asked.withColumnRenamed("subject_id", "asset_id"), radius)
+
+    radii = radii or growing_radii(max(svg, raster), block_rows(pool, block)[0])
+    hits = by_growing_radius(probe.withColumnRenamed("asset_id", "subject_id"), "subject_id", k, radii, found)
     return first_per(hits, ["subject_id"], k, "hamming", "asset_id")
 
 

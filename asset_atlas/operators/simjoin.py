@@ -7,8 +7,10 @@ its keys, so no de-duplicating shuffle follows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,31 +18,56 @@ from pyspark.sql import functions as F
 from ..functions.color import NEAR_MISS, delta_e_steps, lab65
 from ..functions.fingerprint import hamming_bits
 from ..functions.util import let
+from ..session import cut
 
 ALL_BITS = 64
 # |dE| >= |dL| / S_L and S_L never exceeds 1.748
 MAX_LIGHTNESS_WEIGHT = 1.748
 HOT_TOKEN_ROWS = 20_000
+HOT_BAND_ROWS = 20_000
+#: bounds on the search for a band layout: more keys make the probing side too wide
+MOST_BANDS, MOST_KEYS = 16, 20_000
+RADIUS_STEPS = (8, 12, 16)
+GROW_FROM_ROWS = 10_000
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def band_plan(d: int, bands: int | None = None) -> list[tuple[int, int, list[int]]]:
-    """(mask, radius, probe masks) per band for Hamming distance ``d``.
+def band_layout(d: int, m: int) -> list[tuple[list[int], int]]:
+    """(bit positions, radius) of ``m`` bands for Hamming distance ``d``.
 
-    Band j takes every bits-th bit, so a blank image row does not fill one whole band with zeros.
-    If each band differs by more than its radius, the total exceeds d, because the radii add up
-    to d + 1 - bands.
+    Band j takes every m-th bit, so a blank image row does not fill one whole band with zeros. If each
+    band differs by more than its radius, the total exceeds d, because the radii add up to d + 1 - m.
     """
-    m = bands or (4 if d <= 9 else 5 if d <= 14 else 8)
-    m = min(m, d + 1)
     base, extra = divmod(d + 1 - m, m)
+    return [(list(range(j, ALL_BITS, m)), base + (1 if j < extra else 0)) for j in range(m)]
+
+
+def band_cost(d: int, m: int) -> tuple[int, float]:
+    """Keys a fingerprint is probed with, and candidates per fingerprint of evenly spread ones."""
+    balls = [(len(bits), sum(comb(len(bits), r) for r in range(radius + 1))) for bits, radius in band_layout(d, m)]
+    return sum(ball for _, ball in balls), sum(ball / 2.0**bits for bits, ball in balls)
+
+
+def best_bands(d: int, rows: int) -> int:
+    """Bands with the least keys and candidates for a fingerprint in a block of ``rows``.
+
+    Few wide bands leave few candidates but need many keys; they pay in large blocks only.
+    """
+
+    def work(m: int) -> float:
+        keys, share = band_cost(d, m)
+        return keys + share * rows if keys <= MOST_KEYS else float("inf")
+
+    return min(range(1, min(MOST_BANDS, d + 1) + 1), key=work)
+
+
+def band_plan(d: int, bands: int) -> list[tuple[int, int, list[int]]]:
+    """(mask, radius, probe masks) per band for Hamming distance ``d``."""
     plan = []
-    for j in range(m):
-        positions = list(range(j, ALL_BITS, m))
-        radius = base + (1 if j < extra else 0)
+    for positions, radius in band_layout(d, min(bands, d + 1)):
         probes = [
             _signed(sum(1 << p for p in combo))
             for r in range(radius + 1)
@@ -51,24 +78,19 @@ def band_plan(d: int, bands: int | None = None) -> list[tuple[int, int, list[int
 
 
 def _longs(values: list[int]) -> Column:
-    return F.lit(values).cast("array<bigint>")
+    # one literal, folded by the optimizer; a literal per value would be thousands
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def hamming_join(
-    probe: DataFrame,
-    keyed: DataFrame,
-    d: int,
-    block: list[str],
-    bands: int | None = None,
-    ordered: bool = False,
-) -> DataFrame:
-    """Pairs (``block``, bits_a, bits_b, hamming) with hamming <= ``d`` inside a block.
+def block_rows(df: DataFrame, block: list[str]) -> tuple[int, int]:
+    """Rows of the largest block, and of all."""
+    n = df.groupBy(*block).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    return n["most"] or 0, n["all"] or 0
+
+
+def band_sides(probe: DataFrame, keyed: DataFrame, plan: list, block: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``block``, bits_a, band, key) with every key in reach, and (``block``, bits_b, band, key) with the own ones."""
 
-    Both inputs hold distinct (``block``, bits) rows. ``probe`` is expanded with every key within
-    the band radius, ``keyed`` emits one key per band. ``ordered`` keeps bits_a < bits_b only, for
-    self-joins.
-    """
-    plan = band_plan(d, bands)
     def within(j: int, mask: int, masks: list[int]) -> Column:
         return F.transform(
             _longs(masks),
@@ -81,15 +103,54 @@ def hamming_join(
     probes = F.concat(*[within(j, mask, masks) for j, (mask, _, masks) in enumerate(plan)])
     keys = F.array(
         *[
-            F.struct(
-                F.lit(j).alias("band"), F.col("bits").bitwiseAND(F.lit(mask)).alias("key")
-            )
+            F.struct(F.lit(j).alias("band"), F.col("bits").bitwiseAND(F.lit(mask)).alias("key"))
             for j, (mask, _, _) in enumerate(plan)
         ]
     )
-    left = probe.select(*block, F.col("bits").alias("bits_a"), F.inline(probes))
-    right = keyed.select(*block, F.col("bits").alias("bits_b"), F.inline(keys))
+    return (
+        probe.select(*block, F.col("bits").alias("bits_a"), F.inline(probes)),
+        keyed.select(*block, F.col("bits").alias("bits_b"), F.inline(keys)),
+    )
+
+
+def split_hot(left: DataFrame, right: DataFrame, on: list[str], member: str, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``part``: keys of over ``hot`` rows on the right are dealt over parts, and the
+    left rows of such a key go to each of them."""
+    often = cut(
+        right.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+        .select(*on, F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    )
+    parts = F.coalesce("parts", F.lit(1))
+    spread = left.join(often, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = right.join(often, on, "left").withColumn("part", F.pmod(F.xxhash64(member), parts).cast("int"))
+    return spread.drop("parts"), dealt.drop("parts")
 
+
+def hamming_join(
+    probe: DataFrame,
+    keyed: DataFrame,
+    d: int,
+    block: list[str],
+    bands: int | None = None,
+    ordered: bool = False,
+    hot: int = HOT_BAND_ROWS,
+    rows: int | None = None,
+) -> DataFrame:
+    """Pairs (``block``, bits_a, bits_b, hamming) with hamming <= ``d`` inside a block.
+
+    Both inputs hold distinct (``block``, bits) rows. ``probe`` is expanded with every key within
+    the band radius, ``keyed`` emits one key per band. ``ordered`` keeps bits_a < bits_b only, for
+    self-joins. The number of bands follows from ``rows``, those of the largest block, counted if
+    not given; only a block of over ``hot`` rows can hold a key that must be split.
+    """
+    if rows is None:
+        rows = block_rows(keyed, block)[0]
+    plan = band_plan(d, bands or best_bands(d, rows))
+    left, right = band_sides(probe, keyed, plan, block)
+    on = [*block, "band", "key"]
+    if rows > hot:
+        left, right = split_hot(left, right, on, "bits_b", hot)
+        on = [*on, "part"]
     diff = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
     first = F.lit(True)
     for j in range(len(plan) - 1, 0, -1):
@@ -98,15 +159,13 @@ def hamming_join(
             [F.bit_count(diff.bitwiseAND(F.lit(mask))) > radius for mask, radius, _ in plan[:j]],
         )
         first = F.when(F.col("l.band") == j, earlier_miss).otherwise(first)
-    on = reduce(
-        lambda x, y: x & y, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*block, "band", "key"]]
-    )
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on])
     keep = (F.bit_count(diff) <= d) & first
     if ordered:
         keep = keep & (F.col("bits_a") < F.col("bits_b"))
     return (
         left.alias("l")
-        .join(right.alias("r"), on & keep, "inner")
+        .join(right.alias("r"), same & keep, "inner")
         .select(
             *[F.col(f"l.{c}").alias(c) for c in block],
             "bits_a",
@@ -117,24 +176,47 @@ def hamming_join(
 
 
 def hamming_self_join(
-    df: DataFrame, d: int, block: list[str], bands: int | None = None
+    df: DataFrame, d: int, block: list[str], bands: int | None = None, hot: int = HOT_BAND_ROWS
 ) -> DataFrame:
     """Unordered pairs of distinct fingerprints within ``d`` of each other inside a block."""
     nodes = df.select(*block, "bits").distinct()
-    return hamming_join(nodes, nodes, d, block, bands, ordered=True)
+    return hamming_join(nodes, nodes, d, block, bands, ordered=True, hot=hot)
 
 
 def hamming_query_join(
-    queries: DataFrame, df: DataFrame, d: int, block: list[str], bands: int | None = None
+    queries: DataFrame, df: DataFrame, d: int, block: list[str], bands: int | None = None, hot: int = HOT_BAND_ROWS
 ) -> DataFrame:
-    """Distinct query fingerprints against distinct catalogue fingerprints."""
-    return hamming_join(
-        queries.select(*block, "bits").distinct(),
-        df.select(*block, "bits").distinct(),
-        d,
-        block,
-        bands,
-    )
+    """Distinct query fingerprints against distinct catalogue fingerprints; the smaller side is expanded."""
+    asked, known = (x.select(*block, "bits").distinct() for x in (queries, df))
+    (most_asked, all_asked), (most_known, all_known) = block_rows(asked, block), block_rows(known, block)
+    if all_asked <= all_known:
+        return hamming_join(asked, known, d, block, bands, hot=hot, rows=most_known)
+    turned = hamming_join(known, asked, d, block, bands, hot=hot, rows=most_asked)
+    return turned.select(*block, F.col("bits_b").alias("bits_a"), F.col("bits_a").alias("bits_b"), "hamming")
+
+
+def by_growing_radius(
+    asked: DataFrame, key: str, k: int, radii: list[int], hits_at: Callable[[DataFrame, int], DataFrame]
+) -> DataFrame:
+    """``hits_at(asked, radius)`` of each asked row at the first radius that gives it ``k`` hits.
+
+    Hits within a radius come before all others, so the ``k`` closest of a filled row are among
+    them; only rows still short of ``k`` meet the wider and more expensive radius.
+    """
+    parts = []
+    for d in radii[:-1]:
+        hits = cut(hits_at(asked, d))
+        full = hits.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(key)
+        parts.append(hits.join(full, key, "left_semi"))
+        asked = cut(asked.join(full, key, "left_anti"))
+        if asked.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, hits_at(asked, radii[-1])])
+
+
+def growing_radii(ceiling: int, rows: int) -> list[int]:
+    """Steps up to ``ceiling``; small blocks are searched at once, as a step costs more than it saves."""
+    return [r for r in RADIUS_STEPS if r < ceiling and rows > GROW_FROM_ROWS] + [ceiling]
 
 
 def _rare_first(sets: DataFrame, key: list[str], freq: DataFrame) -> DataFrame:
@@ -276,10 +358,3 @@ def range_pairs(
         F.col("b.n").alias("lo_n"),
         F.col("b.px").alias("lo_px"),
     )
-
-
-def probe_count(d: int, bands: int | None = None) -> int:
-    """Rows one fingerprint expands to on the probing side."""
-    return sum(len(p) for _, _, p in band_plan(d, bands))
-
-

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from asset_atlas.operators import clusters as K
 from asset_atlas.operators.graph import connected_components, greedy_star, medoid
+from asset_atlas.operators.detail import near_duplicates
+from asset_atlas.operators.match import near_bucket
 from asset_atlas.operators.semantic import semantic_bucket
 from asset_atlas.operators.simjoin import (
+    band_cost,
     band_plan,
+    band_sides,
+    best_bands,
     delta_e_pairs,
     hamming_query_join,
     hamming_self_join,
     jaccard_join,
+    split_hot,
 )
 
 
@@ -64,10 +70,61 @@ def test_hamming_query_join_is_exact(spark):
 
 def test_band_radii_add_up():
     for d in range(25):
-        plan = band_plan(d)
-        assert sum(r + 1 for _, r, _ in plan) >= d + 1
-        masks = [m & ((1 << 64) - 1) for m, _, _ in plan]
-        assert sum(masks) == (1 << 64) - 1
+        for rows in (100, 100_000, 10**9):
+            plan = band_plan(d, best_bands(d, rows))
+            assert sum(r + 1 for _, r, _ in plan) >= d + 1
+            masks = [m & ((1 << 64) - 1) for m, _, _ in plan]
+            assert sum(masks) == (1 << 64) - 1
+
+
+def test_larger_blocks_take_wider_bands():
+    assert best_bands(20, 1000) > best_bands(20, 1_000_000)
+    assert band_cost(20, best_bands(20, 1_000_000))[1] < 0.25
+
+
+def test_candidates_of_a_large_block_are_a_quarter(spark):
+    rng = random.Random(11)
+    bits = [b - (1 << 63) for b in {rng.getrandbits(64) for _ in range(400)}]
+    df = spark.createDataFrame([(1, b) for b in bits], "g bigint, bits bigint")
+    left, right = band_sides(df.limit(40), df, band_plan(20, best_bands(20, 1_000_000)), ["g"])
+    met = left.join(right, ["g", "band", "key"]).count()
+    assert met < 0.25 * 40 * len(bits)
+
+
+def test_hot_band_keys_are_split(spark):
+    rng = random.Random(12)
+    # all fingerprints agree on the bits of three bands
+    bits = sorted({sum(rng.getrandbits(1) << p for p in range(0, 64, 4)) for _ in range(150)})
+    df = spark.createDataFrame([(1, b) for b in bits], "g bigint, bits bigint")
+    got = hamming_self_join(df, 6, ["g"], 4, hot=20).collect()
+    want = {(a, b) for a in bits for b in bits if a < b and dist(a, b) <= 6}
+    assert len(got) == len(want) and {(r["bits_a"], r["bits_b"]) for r in got} == want
+    left, right = band_sides(df, df, band_plan(6, 4), ["g"])
+    _, dealt = split_hot(left, right, ["g", "band", "key"], "bits_b", 20)
+    assert dealt.groupBy("g", "band", "key", "part").count().agg(F.max("count")).first()[0] <= 45
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_growing_radius_gives_the_closest(spark, seed):
+    rng = random.Random(seed)
+    bits = near_bits(rng, 200, 14)
+    fmt = lambda b: f"{b & ((1 << 64) - 1):016x}"
+    rows = [(1, i, "png", fmt(rng.choice(bits))) for i in range(300)]
+    assets = spark.createDataFrame(rows, "source_id bigint, asset_id bigint, ext string, phash string")
+    queries = assets.filter("asset_id % 7 = 0").withColumnRenamed("asset_id", "query_id")
+    taken = queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(40).cast("long"))).alias("asset_id"))
+    once = near_bucket(queries, assets, taken, ceiling=18, k=6, radii=[18])
+    grown = near_bucket(queries, assets, taken, ceiling=18, k=6, radii=[4, 8, 18])
+    key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "asset_id", "hamming").collect()))
+    assert key(once) == key(grown)
+    want = []
+    for _, q, _, p in rows[::7]:
+        hits = sorted((bin(int(p, 16) ^ int(x, 16)).count("1"), i) for _, i, _, x in rows if i > 40)
+        want += [(q, r + 1, i, h) for r, (h, i) in enumerate([x for x in hits if x[0] <= 18][:6])]
+    assert key(grown) == sorted(want)
+    near = [key(near_duplicates(assets, assets, raster=18, k=6, radii=r).withColumnRenamed("subject_id", "query_id"))
+            for r in ([18], [4, 8, 18])]
+    assert near[0] == near[1]
 
 
 def test_jaccard_join_is_exact(spark):
