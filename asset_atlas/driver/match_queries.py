@@ -296,13 +296,18 @@ def _match(spark, d):
     "match_buckets",
     with_views(
         *ALL_BUCKETS,
-        body="""SELECT query_id, bucket, rank, asset_id, round(score, 6) AS score, coalesce(n, 0) AS usage_count
-        FROM buckets LEFT JOIN (SELECT doc_id AS asset_id, count(*) AS n FROM labels GROUP BY 1) u USING (asset_id)""",
+        body="""SELECT query_id, bucket, rank, asset_id, round(score, 6) AS score, coalesce(n, 0) AS usage_count,
+        CASE WHEN bucket = 'name' THEN array_to_string(list_sort(list_intersect(
+        (SELECT tokens FROM assets_vec v WHERE v.asset_id = query_id), w.tokens)), ' ') END AS shared,
+        w.rel_path AS rel_path, false AS near_degenerate
+        FROM buckets JOIN assets_vec w USING (asset_id) LEFT JOIN (SELECT doc_id AS asset_id, count(*) AS n FROM labels GROUP BY 1) u USING (asset_id)""",
     ),
 )
 def match_buckets(spark, d):
-    return _match(spark, d).select(
-        "query_id", "bucket", "rank", "asset_id", F.round("score", 6).alias("score"), "usage_count"
+    found = M.described(_match(spark, d), queries_vec(spark, d), assets_vec(spark, d))
+    return found.select(
+        "query_id", "bucket", "rank", "asset_id", F.round("score", 6).alias("score"), "usage_count",
+        F.array_join(F.sort_array("shared_tokens"), " ").alias("shared"), "rel_path", "near_degenerate",
     )
 
 
@@ -363,15 +368,19 @@ def detail_siblings(spark, d):
         ASSETS_PART, HASH.format(assets="assets_part"), NAME_PART,
         """members AS (SELECT 'hash' AS kind, key, asset_id, role FROM hash_dups UNION ALL
         SELECT 'name', key, asset_id, role FROM name_groups)""",
-        body="""SELECT s.asset_id AS subject_id, m.kind, m.key, m.asset_id, m.role, a.rel_path FROM members s
-        JOIN members m USING (kind, key) JOIN assets_part a ON a.asset_id = m.asset_id""",
+        body="""SELECT m.kind, m.key, m.asset_id, m.role, s.asset_id IS NOT NULL AS subject, a.rel_path FROM members m
+        LEFT JOIN (SELECT asset_id FROM assets_part WHERE ext = (SELECT min(ext) FROM assets_part)) s
+        ON s.asset_id = m.asset_id JOIN assets_part a ON a.asset_id = m.asset_id
+        WHERE (m.kind, m.key) IN (SELECT (o.kind, o.key) FROM members o JOIN assets_part x ON x.asset_id = o.asset_id
+        WHERE x.ext = (SELECT min(ext) FROM assets_part))""",
     ),
 )
 def detail_memberships(spark, d):
     a = assets_part(spark, d)
     members = K.hash_clusters(a).unionByName(K.name_clusters(a))
-    found = D.memberships(a, members, a)
-    return found.select("subject_id", "kind", "key", "asset_id", "role", "rel_path")
+    first = a.agg(F.min("ext")).first()[0]
+    found = D.memberships(a.filter(F.col("ext") == first), members, a)
+    return found.select("kind", "key", "asset_id", "role", "subject", "rel_path")
 
 
 @query(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import hamming_bits, phash_bits
+from ..functions.fingerprint import phash_bits
 from ..functions.names import name_tokens, pixel_size_from_path, pixel_suffix
-from .match import first_per
+from ..session import cut
+from .match import first_per, most_taken
 from .simjoin import block_rows, by_growing_radius, growing_radii, hamming_query_join, jaccard_join
 
 NEAR_SVG, NEAR_RASTER, NEAR_LIMIT = 6, 10, 20
@@ -66,11 +67,14 @@ def name_siblings(
     svg: int = FAMILY_SVG,
     raster: int = FAMILY_RASTER,
     k: int = FAMILY_LIMIT,
+    bands: int | None = None,
+    radii: list[int] | None = None,
 ) -> DataFrame:
     """Same name family and similar look, without near duplicates and byte-identical copies.
 
     Assets that agree on tokens, fingerprint and content are interchangeable here, so each such
-    group offers only as many rows as could be listed.
+    group offers only as many rows as could be listed. Inside a family the fingerprints are joined
+    by bands, closest first, so a large family of alike assets is not compared pair by pair.
     """
 
     def rows(df: DataFrame) -> DataFrame:
@@ -82,13 +86,14 @@ def name_siblings(
             phash_bits(F.col("phash")).alias("bits"),
             name_tokens(F.col("stem")).alias("raw"),
             F.sort_array(name_tokens(F.col("stem"))).alias("tokens"),
-        )
+        ).withColumn("family", F.xxhash64("tokens"))
 
     probe = rows(subjects).filter(F.size("tokens") > 0)
-    pool = rows(assets).filter(F.size("tokens") > 0)
-    spare = k + NEAR_LIMIT + 1
+    pool = cut(rows(assets).filter(F.size("tokens") > 0))
     alike = ["source_id", "tokens", "bits", "content_hash"]
-    few = first_per(pool, alike, spare).drop("rank", "raw", "ext")
+    # what the near list of one subject takes out of one group, and the subject itself
+    most = most_taken(pool, near, alike, "subject_id").agg(F.coalesce(F.max("taken"), F.lit(0))).first()[0]
+    few = first_per(pool, alike, k + 1 + most).drop("rank", "raw", "ext")
     pairs = jaccard_join(probe, pool, SIBLING_MIN)
     left = probe.select(
         "source_id",
@@ -98,39 +103,50 @@ def name_siblings(
         F.col("bits").alias("bits_a"),
         "raw",
         F.col("tokens").alias("tokens_a"),
-    ).join(pairs, "tokens_a")
+    ).join(pairs, "tokens_a").withColumn("family", F.xxhash64("tokens_b"))
+    left = cut(left)
     right = few.withColumnsRenamed({"tokens": "tokens_b", "bits": "bits_b"})
-    h = hamming_bits(F.col("bits_a"), F.col("bits_b"))
-    hits = (
-        left.alias("l")
-        .join(
-            right.alias("r"),
-            (F.col("l.source_id") == F.col("r.source_id"))
-            & (F.col("l.tokens_b") == F.col("r.tokens_b"))
-            & (h <= F.col("reach"))
-            & (F.col("subject_id") != F.col("asset_id"))
-            & ~F.col("own_hash").eqNullSafe(F.col("content_hash")),
-        )
-        .select(
-            "subject_id",
-            "asset_id",
-            "score",
-            h.alias("hamming"),
-            F.array_intersect("raw", "l.tokens_b").alias("shared_tokens"),
+    block = ["source_id", "family"]
+
+    def hits_at(asked: DataFrame, radius: int) -> DataFrame:
+        close = hamming_query_join(asked.withColumnRenamed("bits_a", "bits"), pool, radius, block, bands)
+        met = asked.join(close, [*block, "bits_a"]).filter(F.col("hamming") <= F.col("reach"))
+        return (
+            met.join(right, ["source_id", "family", "tokens_b", "bits_b"])
+            .filter((F.col("subject_id") != F.col("asset_id")) & ~F.col("own_hash").eqNullSafe(F.col("content_hash")))
+            .select(
+                "subject_id", "asset_id", "score", "hamming",
+                F.array_intersect("raw", "tokens_b").alias("shared_tokens"),
+            )
+            .join(near.select("subject_id", "asset_id"), ["subject_id", "asset_id"], "left_anti")
         )
-        .join(near.select("subject_id", "asset_id"), ["subject_id", "asset_id"], "left_anti")
-    )
+
+    radii = radii or growing_radii(max(svg, raster), block_rows(pool, block)[0])
+    hits = by_growing_radius(left, "subject_id", k, radii, hits_at)
     return first_per(hits, ["subject_id"], k, "hamming", F.desc("score"), "asset_id")
 
 
 def memberships(subjects: DataFrame, members: DataFrame, assets: DataFrame) -> DataFrame:
-    """Members of the subject's name and hash clusters, one row each."""
-    plain = members.filter("kind <> 'phash'")
-    own = plain.join(
-        subjects.select("asset_id"), "asset_id", "left_semi"
-    ).select("source_id", "kind", "key", F.col("asset_id").alias("subject_id"))
+    """Name and hash clusters of the subjects, each listed once: a row per member, with ``subject``
+    marking those that were asked for.
+
+    The listing of a subject is all rows of its clusters, so the output grows with the members and
+    not with their square.
+    """
+    key = ["source_id", "kind", "key"]
+    asked = subjects.select("asset_id").distinct().withColumn("subject", F.lit(True))
+    plain = members.filter("kind <> 'phash'").join(asked, "asset_id", "left").withColumn(
+        "subject", F.coalesce("subject", F.lit(False)))
+    wanted = plain.filter("subject").select(*key).distinct()
     details = assets.select("asset_id", "name", "rel_path", "ext", F.col("size").alias("bytes"))
-    return own.join(plain, ["source_id", "kind", "key"]).join(details, "asset_id")
+    return plain.join(wanted, key, "left_semi").join(details, "asset_id")
+
+
+def membership_listing(factored: DataFrame, subject_id: int) -> DataFrame:
+    """The clusters of one subject out of ``memberships``."""
+    key = ["source_id", "kind", "key"]
+    own = factored.filter(F.col("subject") & (F.col("asset_id") == subject_id)).select(*key)
+    return factored.join(own, key, "left_semi").drop("subject")
 
 
 def size_variants(subjects: DataFrame, assets: DataFrame) -> DataFrame:

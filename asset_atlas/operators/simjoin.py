@@ -27,7 +27,7 @@ HOT_TOKEN_ROWS = 20_000
 HOT_BAND_ROWS = 20_000
 #: bounds on the search for a band layout: more keys make the probing side too wide
 MOST_BANDS, MOST_KEYS = 16, 20_000
-RADIUS_STEPS = (8, 12, 16)
+RADIUS_STEPS = (4, 8, 12, 16)
 GROW_FROM_ROWS = 10_000
 
 
