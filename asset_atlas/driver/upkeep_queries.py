@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import functions as F
 
+from ..functions import fingerprint as FP
 from ..functions.fingerprint import popcount_backfill
 from ..operators import catalog as C
 from ..operators import clusters as K
@@ -12,8 +14,9 @@ from ..operators import incremental as N
 from ..operators.usages import backfill_abs_path, unused_assets
 from ..plans import actions as A
 from ..plans import rename as R
+from ..schemas import ASSETS
 from ..session import new_folder
-from ..streaming.ingest import duplicate_alerts
+from ..streaming.ingest import compact, duplicate_alerts, latest_alerts, read_assets, start_arrival_alerts, write_batch
 from .catalog_queries import HASH_DOC, HASH_PART, NAME_PART
 from .views import (
     ASSETS_DOC,
@@ -138,6 +141,84 @@ def delete_missing(spark, d):
     return N.delete_missing(_stored(spark, d), _scanned(spark, d), 1).select("asset_id", "abs_path")
 
 
+@query(
+    "index_run",
+    with_views(
+        STORED, SCANNED,
+        """states AS (SELECT n.abs_path, o.asset_id AS kept_id, o.abs_path IS NOT NULL AND n.size = o.size AND
+        n.mtime = o.mtime AS same, n.size, n.mtime, n.content_hash AS found, o.content_hash AS held,
+        o.embed_status, o.author FROM scanned n LEFT JOIN stored o USING (abs_path))""",
+        body="""SELECT abs_path, kept_id, size, mtime, CASE WHEN same THEN held ELSE found END AS content_hash,
+        CASE WHEN same OR held = found THEN embed_status END AS embed_status, author FROM states""",
+    ),
+)
+def index_run(spark, d):
+    """A run over documents as files: only new and changed ones are read, the others keep what is stored."""
+    stored, found = _stored(spark, d), _scanned(spark, d)
+    listing = found.select("source_id", "abs_path", "size", "mtime")
+    merged, _ = N.index_run(
+        listing, stored, lambda paths: found.join(paths.select("abs_path"), "abs_path", "left_semi"), 1)
+    top = stored.agg(F.max("asset_id").alias("m")).scalar()
+    return merged.select(
+        "abs_path", F.when(F.col("asset_id") <= top, F.col("asset_id")).alias("kept_id"),
+        "size", "mtime", "content_hash", "embed_status", "author",
+    )
+
+
+@query(
+    "index_run_report",
+    with_views(
+        STORED, SCANNED,
+        body="""SELECT CASE WHEN o.abs_path IS NULL THEN 'new' WHEN n.abs_path IS NULL THEN 'gone'
+        WHEN n.size = o.size AND n.mtime = o.mtime THEN 'same' ELSE 'changed' END AS state, count(*) AS n
+        FROM scanned n FULL JOIN stored o ON n.abs_path = o.abs_path GROUP BY 1""",
+    ),
+)
+def index_run_report(spark, d):
+    found = _scanned(spark, d)
+    _, report = N.index_run(
+        found.select("source_id", "abs_path", "size", "mtime"), _stored(spark, d),
+        lambda paths: found.join(paths.select("abs_path"), "abs_path", "left_semi"), 1)
+    return report
+
+
+HEADERS = {
+    "png": "concat('89504E470D0A1A0A0000000D49484452', lpad(hex(w), 8, '0'), lpad(hex(h), 8, '0'), '0806000000')",
+    "gif": "concat('474946383961', little(w, 2), little(h, 2), 'F70000')",
+    "jpg": "concat('FFD8FFE000104A46494600010100000100010000FFDB0006', '00010203', 'FFC4000401FF', 'FFC2001108', "
+    "lpad(hex(h), 4, '0'), lpad(hex(w), 4, '0'), '03012200021101')",
+    "webp_lossy": "concat('52494646000000005745425056503820', '00000000', '0000009D012A', little(w, 2), little(h, 2))",
+    "webp_lossless": "concat('5249464600000000574542505650384C', '00000000', '2F', "
+    "little((w - 1) | shiftleft(cast(h - 1 as bigint), 14), 4), '00')",
+    "webp_extended": "concat('52494646000000005745425056503858', '0A000000', '10000000', little(w - 1, 3), little(h - 1, 3))",
+}
+
+
+def _little(sql: str) -> str:
+    """``little(x, n)`` written out: n bytes of x as hex, the lowest first."""
+    part = "lpad(hex(cast(shiftright(cast({x} as bigint), {s}) & 255 as bigint)), 2, '0')"
+
+    def expand(m: re.Match) -> str:
+        return "concat(" + ", ".join(part.format(x=m[1], s=8 * i) for i in range(int(m[2]))) + ")"
+
+    return re.sub(r"little\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*), (\d)\)", expand, sql)
+
+
+@query(
+    "header_sizes",
+    """SELECT p_partkey AS asset_id, format, CAST(p_size * 37 AS INT) AS width, CAST(p_size * 29 + 1 AS INT) AS height
+    FROM part, (SELECT unnest(['png', 'gif', 'jpg', 'webp_lossy', 'webp_lossless', 'webp_extended']) AS format)
+    UNION ALL SELECT p_partkey, 'text', NULL, NULL FROM part""",
+)
+def header_sizes(spark, d):
+    """Width and height out of header bytes that hold the part's size, one file of each format."""
+    parts = table(spark, d, "part").selectExpr("p_partkey as asset_id", "p_size * 37 as w", "p_size * 29 + 1 as h")
+    pairs = ", ".join(f"struct('{name}' as format, {_little(sql)} as bytes)" for name, sql in HEADERS.items())
+    files = parts.selectExpr("asset_id", f"inline(array({pairs}, struct('text' as format, hex('plain text') as bytes)))")
+    size = FP.header_size(F.unhex("bytes"))
+    return files.select("asset_id", "format", size["width"].alias("width"), size["height"].alias("height"))
+
+
 @query(
     "embedding_targets",
     """SELECT vec_id AS asset_id FROM embeddings LEFT JOIN labels ON doc_id = vec_id
@@ -235,6 +316,69 @@ def usage_path_backfill(spark, d):
     return backfill_abs_path(usages, sources).select("id", "abs_path")
 
 
+def _document_stream(spark, d):
+    docs = table(spark, d, "documents")
+    return spark.readStream.schema(docs.schema).parquet(f"{d}/documents*.parquet")
+
+
+@query(
+    "stream_upsert",
+    with_views(
+        STORED, SCANNED,
+        body="""SELECT abs_path, o.asset_id AS kept_id, coalesce(n.size, o.size) AS size,
+        coalesce(n.mtime, o.mtime) AS mtime, coalesce(n.content_hash, o.content_hash) AS content_hash
+        FROM (SELECT abs_path FROM stored UNION SELECT abs_path FROM scanned) k LEFT JOIN stored o USING (abs_path)
+        LEFT JOIN scanned n USING (abs_path)""",
+    ),
+)
+def stream_upsert(spark, d):
+    """A stored catalogue takes a stream of documents: logged batch by batch, then folded in."""
+    folder = new_folder(spark, "stream-upsert")
+    stored = _stored(spark, d)
+    empty = spark.createDataFrame([], ASSETS)
+    (
+        empty.select(*[c for c in empty.columns if c not in stored.columns])
+        .limit(0)
+        .join(stored, F.lit(True), "right")
+        .select(*[F.col(c).cast(empty.schema[c].dataType) for c in empty.columns])
+        .write.partitionBy("source_id")
+        .parquet(f"{folder}/rows")
+    )
+    arriving = _document_stream(spark, d).selectExpr(
+        "1L as source_id", "concat(if(lang = 'de', 'moved', 'd'), doc_id) as abs_path", "n_chars as size",
+        "cast(if(lang = 'fr', 0, 1) as bigint) as mtime", "md5(concat(text, 0)) as content_hash",
+    )
+    run = (
+        arriving.writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, folder))
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    compact(spark, folder)
+    top = stored.agg(F.max("asset_id").alias("m")).scalar()
+    return read_assets(spark, folder).select(
+        "abs_path", F.when(F.col("asset_id") <= top, F.col("asset_id")).alias("kept_id"), "size", "mtime", "content_hash")
+
+
+@query(
+    "stream_arrival_alerts",
+    """SELECT md5(text) AS content_hash, arg_min('d' || doc_id, 'd' || doc_id) AS first_path, count(*) AS files,
+    any_value(first_known) AS known_path, coalesce(any_value(k.copies), 0) AS copies
+    FROM documents LEFT JOIN (SELECT md5(text) AS h, min('l' || doc_id) AS first_known, count(*) AS copies
+    FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) k ON md5(text) = k.h GROUP BY 1 HAVING count(*) > 1 OR any_value(k.copies) > 0"""
+)
+def stream_arrival_alerts(spark, d):
+    """Copies among the arriving documents themselves, whichever batch they come in, and of toxic known ones."""
+    arriving = _document_stream(spark, d).selectExpr(
+        "concat('d', doc_id) as abs_path", "md5(text) as content_hash", "timestamp_seconds(0) as arrived")
+    reviewed = table(spark, d, "documents").join(table(spark, d, "labels").filter("toxic = 1"), "doc_id")
+    known = reviewed.selectExpr("md5(text) as content_hash", "concat('l', doc_id) as rel_path", "doc_id as asset_id")
+    folder = new_folder(spark, "arrivals")
+    start_arrival_alerts(arriving, known, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return latest_alerts(spark, f"{folder}/rows")
+
+
 @query(
     "stream_duplicate_alerts",
     """SELECT 'd' || d.doc_id AS abs_path, k.first_path, k.copies FROM documents d JOIN (SELECT md5(text) AS h,

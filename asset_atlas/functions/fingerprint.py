@@ -149,3 +149,68 @@ def svg_stats(text: Column) -> Column:
         F.array_distinct(values(everything, "stroke-width")).alias("stroke_widths"),
         F.concat(F.array_distinct(hexes), F.array_distinct(rgbs)).alias("literal_colors"),
     )
+
+
+def _number(content: Column, at: int | Column, size: int, little: bool = False) -> Column:
+    """Unsigned number of ``size`` bytes from byte ``at`` (0-based) of a binary column."""
+    places = [at + i for i in range(size)]
+    digits = [F.hex(F.substring(content, (p if isinstance(p, Column) else F.lit(p)) + 1, F.lit(1))) for p in places]
+    return F.conv(F.concat(*(digits[::-1] if little else digits)), 16, 10).cast("long")
+
+
+def _bytes_at(content: Column, at: int, text: str) -> Column:
+    return F.substring(content, F.lit(at + 1), F.lit(len(text) // 2)) == F.unhex(F.lit(text))
+
+
+def _jpeg_frame(content: Column) -> Column:
+    """(width, height) of the first frame header, found by stepping from segment to segment."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(2).cast("long").alias("at"), none.alias("width"), none.alias("height"))
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        kind = _number(content, at.cast("int") + 1, 1)
+        # frame headers, without the tables and extensions that share their range
+        frame = kind.between(0xC0, 0xCF) & ~kind.isin(0xC4, 0xC8, 0xCC)
+        after = at + 2 + _number(content, at.cast("int") + 2, 2)
+        return F.when(state["width"].isNotNull() | (at < 0), state).otherwise(
+            F.struct(
+                F.when(~frame & (after < F.length(content)), after).otherwise(F.lit(-1)).cast("long").alias("at"),
+                F.when(frame, _number(content, at.cast("int") + 7, 2)).alias("width"),
+                F.when(frame, _number(content, at.cast("int") + 5, 2)).alias("height"),
+            )
+        )
+
+    # a segment takes four bytes at least
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(content) / 4).cast("int")), start, step)
+
+
+def header_size(content: Column) -> Column:
+    """Struct (width, height) out of the header bytes of a png, gif, jpeg or webp file, null for others."""
+
+    def size(width: Column, height: Column) -> Column:
+        return F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+
+    packed = _number(content, 21, 4, little=True)
+    low14 = F.lit(0x3FFF)
+    webp = (
+        F.when(
+            _bytes_at(content, 12, "56503820"),  # lossy
+            size(_number(content, 26, 2, True).bitwiseAND(low14), _number(content, 28, 2, True).bitwiseAND(low14)),
+        )
+        .when(
+            _bytes_at(content, 12, "5650384C"),  # lossless
+            size(packed.bitwiseAND(low14) + 1, F.shiftright(packed, 14).bitwiseAND(low14) + 1),
+        )
+        .when(
+            _bytes_at(content, 12, "56503858"),  # extended
+            size(_number(content, 24, 3, True) + 1, _number(content, 27, 3, True) + 1),
+        )
+    )
+    frame = _jpeg_frame(content)
+    return (
+        F.when(_bytes_at(content, 0, "89504E470D0A1A0A"), size(_number(content, 16, 4), _number(content, 20, 4)))
+        .when(_bytes_at(content, 0, "47494638"), size(_number(content, 6, 2, True), _number(content, 8, 2, True)))
+        .when(_bytes_at(content, 0, "52494646") & _bytes_at(content, 8, "57454250"), webp)
+        .when(_bytes_at(content, 0, "FFD8"), size(frame["width"], frame["height"]))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,39 @@ def delete_missing(stored: DataFrame, scanned: DataFrame, source_id: int) -> Dat
     return own.join(scanned.select("abs_path"), "abs_path", "left_semi").unionByName(others)
 
 
+class VanishedSource(RuntimeError):
+    """A listing so short that its missing rows are not taken for deleted files."""
+
+
+def index_run(
+    listing: DataFrame,
+    stored: DataFrame,
+    read_changed: Callable[[DataFrame], DataFrame],
+    source_id: int,
+    full: bool = False,
+    most_gone: float = 1.0,
+) -> tuple[DataFrame, DataFrame]:
+    """One run over a source: (catalogue, report of (state, n)).
+
+    ``listing`` holds metadata only (abs_path, size, mtime). Files it shares with ``stored`` at the
+    same size and time are not read; ``read_changed`` gets the new and changed paths (abs_path,
+    state) and returns their complete rows. Rows of files that are gone go, unless they are more
+    than ``most_gone`` of the source, or the listing is empty: then nothing is touched.
+    """
+    own = stored.filter(F.col("source_id") == source_id)
+    states = cut(diff(listing, own, full))
+    report = states.groupBy("state").agg(F.count("*").alias("n"))
+    seen = {r["state"]: r["n"] for r in report.collect()}
+    gone, before = seen.get("gone", 0), sum(n for s, n in seen.items() if s != "new")
+    if gone and (gone == sum(seen.values()) or gone > most_gone * before):
+        raise VanishedSource(f"{gone} of {before} stored files of source {source_id} are not listed")
+    top = stored.agg(F.coalesce(F.max("asset_id"), F.lit(0))).first()[0]
+    changed = states.filter(F.col("state").isin("new", "changed")).select("abs_path", "state")
+    left = own.join(states.filter("state <> 'gone'").select("abs_path"), "abs_path", "left_semi").select(stored.columns)
+    merged = upsert(left, read_changed(changed), F.lit(top))
+    return merged.unionByName(stored.filter(F.col("source_id") != source_id)), report
+
+
 def require_root(spark: SparkSession, root: str) -> None:
     """A vanished root must stop the run before its rows are taken for deleted."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

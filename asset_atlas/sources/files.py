@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import content_hash, dhash, popcount, svg_stats
+from ..functions.fingerprint import content_hash, dhash, header_size, popcount, svg_stats
 from ..functions.names import IMAGE_EXTENSIONS, category, path_extension, stem
 from ..functions.util import basename, dirname
-from ..operators.incremental import dense_ids
+from ..operators.incremental import dense_ids, index_run, require_root
 from ..operators.styles import style_files
 from ..operators.text import in_size
+from ..session import cut, new_folder
 
 # Text files searched for references.
 CODE_EXTENSIONS = (
@@ -23,6 +25,12 @@ CODE_EXTENSIONS = (
 #: raster formats Spark's image source decodes
 DECODABLE = ["png", "jpg", "jpeg", "gif"]
 DEFAULT_IGNORE = [r"(?:^|/)node_modules/", r"(?:^|/)\.[^/]+"]
+#: files a reader is given by name at a time
+FILES_AT_ONCE = 10_000
+RASTER = {
+    "width": "int", "height": "int", "dominant_color": "string", "phash": "string",
+    "phash_popcount": "int", "white_fraction": "double",
+}
 
 
 def local_path(path: Column) -> Column:
@@ -89,6 +97,22 @@ def scan_assets(
     )
 
 
+def list_assets(
+    spark: SparkSession,
+    root: str,
+    source_id: int,
+    extensions: list[str] | None = None,
+    ignore: list[str] | None = None,
+) -> DataFrame:
+    """Image files with path parts, size and mtime; no file is opened."""
+    files = read_binary(spark, root, extensions or IMAGE_EXTENSIONS).drop("content")
+    parts = with_path_parts(files, root, source_id, DEFAULT_IGNORE if ignore is None else ignore)
+    return parts.select(
+        "source_id", "abs_path", "rel_path", "dir", "name", "stem", "ext", F.col("length").alias("size"),
+        F.unix_millis("modificationTime").alias("mtime"), F.col("path").alias("uri"),
+    )
+
+
 def scan_code(
     spark: SparkSession,
     root: str,
@@ -232,18 +256,71 @@ def svg_features(assets: DataFrame) -> DataFrame:
 
 def build_assets(spark: SparkSession, root: str, source_id: int) -> DataFrame:
     """Scanned assets with hashes and features, ready for the upsert (no ids yet)."""
-    scanned = scan_assets(spark, root, source_id)
-    hashed = scanned.withColumn("content_hash", content_hash(F.col("content"))).withColumn(
-        "sha1", F.sha1("content")
-    )
-    raster = raster_features(read_images(spark, root))
+    return with_content(scan_assets(spark, root, source_id), read_images(spark, root))
+
+
+def changed_assets(spark: SparkSession, root: str, source_id: int, uris: DataFrame, at_once: int = FILES_AT_ONCE) -> DataFrame:
+    """Complete rows of the files of ``uris`` alone, read ``at_once`` at a time.
+
+    A reader takes its paths from the driver, so these come there in bounded lots; each lot's rows
+    are written before the next is fetched.
+    """
+    folder = new_folder(spark, "changed")
+    lot, number = [], 0
+
+    def write() -> None:
+        # a reader takes paths for patterns
+        named = [re.sub(r"([\[\]{}*?\\])", r"\\\1", u) for u in lot]
+        files = spark.read.format("binaryFile").load(named)
+        parts = with_path_parts(files, root, source_id, []).select(
+            "source_id", "abs_path", "rel_path", "dir", "name", "stem", "ext", F.col("length").alias("size"),
+            F.unix_millis("modificationTime").alias("mtime"), "content",
+        )
+        pictures = [u for u in named if u.rsplit(".", 1)[-1].lower() in DECODABLE]
+        images = spark.read.format("image").option("dropInvalid", False).load(pictures) if pictures else None
+        with_content(parts, images).write.parquet(f"{folder}/lot={number}")
+
+    for row in uris.select("uri").toLocalIterator():
+        lot.append(row["uri"])
+        if len(lot) == at_once:
+            write()
+            lot, number = [], number + 1
+    if lot or not number:
+        if not lot:
+            return with_content(scan_assets(spark, root, source_id).limit(0), None)
+        write()
+    return spark.read.option("mergeSchema", True).parquet(folder).drop("lot")
+
+
+def index_source(
+    spark: SparkSession, root: str, source_id: int, stored: DataFrame, full: bool = False, most_gone: float = 1.0
+) -> tuple[DataFrame, DataFrame]:
+    """Index a folder against the stored catalogue, opening new and changed files only."""
+    require_root(spark, root)
+    listing = cut(list_assets(spark, root, source_id))
+
+    def read_changed(paths: DataFrame) -> DataFrame:
+        return changed_assets(spark, root, source_id, listing.join(paths, "abs_path"))
+
+    return index_run(listing, stored, read_changed, source_id, full, most_gone)
+
+
+def with_content(scanned: DataFrame, images: DataFrame | None) -> DataFrame:
+    """Hashes and features of scanned files; width and height come from the header where no decoder reads it."""
+    hashed = scanned.withColumns({
+        "content_hash": content_hash(F.col("content")), "sha1": F.sha1("content"), "header": header_size(F.col("content")),
+    })
+    if images is None:
+        raster = scanned.select("abs_path", *[F.lit(None).cast(t).alias(n) for n, t in RASTER.items()]).limit(0)
+    else:
+        raster = raster_features(images)
     joined = (
         hashed.drop("content")
         .join(raster, "abs_path", "left")
         .join(svg_features(scanned), "abs_path", "left")
-        .withColumn("width", F.coalesce("width", "svg_width"))
-        .withColumn("height", F.coalesce("height", "svg_height"))
-        .drop("svg_width", "svg_height")
+        .withColumn("width", F.coalesce("width", "header.width", "svg_width"))
+        .withColumn("height", F.coalesce("height", "header.height", "svg_height"))
+        .drop("svg_width", "svg_height", "header")
     )
     return joined.withColumn(
         "category", category(F.col("ext"), F.col("width"), F.col("height"))
@@ -267,12 +344,13 @@ def refused(assets: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def failures(assets: DataFrame) -> DataFrame:
-    """One row per raster file without features, and why; the run itself goes on."""
-    broken = (F.lower("ext") != "svg") & F.col("width").isNull()
+    """One row per raster file without a fingerprint, and one per SVG without text, and why; the run goes on."""
+    broken = F.when(F.lower("ext") == "svg", F.col("paths_count").isNull()).otherwise(F.col("phash").isNull())
     return assets.filter(broken).select(
         F.lit("decode").alias("label"),
         F.col("rel_path").alias("file"),
-        F.when(F.lower("ext").isin(DECODABLE), "image could not be decoded")
+        F.when(F.lower("ext") == "svg", "svg text could not be read")
+        .when(F.lower("ext").isin(DECODABLE), "image could not be decoded")
         .otherwise("image format is not decoded")
         .alias("reason"),
     )

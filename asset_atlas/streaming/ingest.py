@@ -12,14 +12,10 @@ from ..functions.names import category, is_image_name
 from ..operators.incremental import upsert
 from ..schemas import ASSETS
 from ..session import cut, drop_folder
-from ..sources.files import DECODABLE, DEFAULT_IGNORE, raster_features, view_size, with_path_parts
+from ..sources.files import DECODABLE, DEFAULT_IGNORE, RASTER, raster_features, view_size, with_path_parts
 from ..sources.sinks import read_table
 
 MAX_FILES = 1000
-RASTER = {
-    "width": "int", "height": "int", "dominant_color": "string", "phash": "string",
-    "phash_popcount": "int", "white_fraction": "double",
-}
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -141,3 +137,54 @@ def duplicate_alerts(arriving: DataFrame, assets: DataFrame) -> DataFrame:
         "abs_path", "content_hash", "first_path", "copies"
     )
 
+
+
+def arrival_counts(arriving: DataFrame, delay: str | None = None) -> DataFrame:
+    """Per content of the stream so far its first path and number of files; a stateful aggregate.
+
+    A file that arrives twice, under one path, counts twice only if its ``arrived`` differs. With a
+    ``delay``, contents not seen for that long are forgotten, so the state stays bounded; the same
+    content is then a new one when it comes back.
+    """
+    if delay is not None:
+        arriving = arriving.withWatermark("arrived", delay)
+        once = arriving.dropDuplicatesWithinWatermark(["abs_path", "content_hash"])
+        keys = ["content_hash", F.session_window("arrived", delay).alias("seen")]
+    else:
+        once, keys = arriving.dropDuplicates(["abs_path", "content_hash"]), ["content_hash"]
+    return once.groupBy(*keys).agg(
+        F.min_by("abs_path", F.struct("arrived", "abs_path")).alias("first_path"), F.count("*").alias("files")
+    )
+
+
+def start_arrival_alerts(
+    arriving: DataFrame, assets: DataFrame, out: str, checkpoint: str, delay: str | None = None
+) -> StreamingQuery:
+    """Alerts of each batch under its own number: contents that the stream has brought more than once, or
+    that the catalogue holds. A later batch repeats a content with its new count."""
+    known = assets.groupBy("content_hash").agg(
+        F.min_by("rel_path", F.struct("rel_path", "asset_id")).alias("known_path"), F.count("*").alias("copies"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.join(known, "content_hash", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+        alerts = held.filter((F.col("files") > 1) | (F.col("copies") > 0))
+        alerts.select("content_hash", "first_path", "files", "known_path", "copies").write.mode("overwrite").parquet(
+            f"{out}/batch={number}")
+
+    # a session window can only be completed, not updated
+    mode = "append" if delay is not None else "update"
+    return (
+        arrival_counts(arriving, delay)
+        .writeStream.outputMode(mode)
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_alerts(spark: SparkSession, out: str) -> DataFrame:
+    """The last alert of each content."""
+    rows = spark.read.parquet(out)
+    newest = F.max_by(F.struct("first_path", "files", "known_path", "copies"), "batch")
+    return rows.groupBy("content_hash").agg(newest.alias("a")).select("content_hash", "a.*")
