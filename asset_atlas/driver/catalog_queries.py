@@ -12,6 +12,7 @@ from ..operators import search as S
 from ..operators.match import first_per
 from ..operators.simjoin import jaccard_join
 from ..operators.usages import unused_assets, with_usage_count
+from ..session import new_folder
 from .views import (
     ASSETS_DOC,
     ASSETS_PART,
@@ -633,6 +634,14 @@ def text_search(spark, d):
     return found.select("asset_id", F.round("score", 6).alias("score"))
 
 
+@query("indexed_search", ORACLES["text_search"])
+def indexed_search(spark, d):
+    """The same search out of a stored term table."""
+    index = S.store_term_index(assets_part(spark, d), new_folder(spark, "terms"))
+    found = S.indexed_matches(index, N.query_terms("Wid brand.la"))
+    return found.select("asset_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "substring_search",
     with_views(
@@ -663,7 +672,8 @@ def full_search(spark, d):
     """Terms, extension and use at once, over the whole catalogue."""
     assets = assets_part(spark, d)
     first = assets.agg(F.min("ext")).first()[0]
-    found = S.search(assets, "brand", exts=[first], usages=usages_li(spark, d), unused_only=True)
+    index = S.store_term_index(assets, new_folder(spark, "terms"))
+    found = S.search(assets, "brand", exts=[first], usages=usages_li(spark, d), unused_only=True, index=index)
     return found.select("asset_id", "name")
 
 

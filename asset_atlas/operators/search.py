@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import query_terms, search_tokens
@@ -30,14 +31,78 @@ def _like(q: str) -> Column:
     return F.lower("stem").contains(needle) | F.lower("rel_path").contains(needle)
 
 
+class TermIndex(NamedTuple):
+    """(source_id, term, asset_id, tf, words_n) rows in the order of their terms, and the totals they lack."""
+
+    terms: DataFrame
+    totals: DataFrame
+
+
+def store_term_index(assets: DataFrame, folder: str) -> TermIndex:
+    """Write the terms of a catalogue in ranges, sorted, so that a prefix is in few files and row groups."""
+    words = F.concat(*[search_tokens(F.col(c)) for c in ("name", "stem", "rel_path")])
+    rows = assets.select("source_id", "asset_id", words.alias("words"))
+    (
+        rows.select("source_id", "asset_id", F.size("words").alias("words_n"), F.explode("words").alias("term"))
+        .groupBy("source_id", "term", "asset_id", "words_n")
+        .agg(F.count("*").alias("tf"))
+        .repartitionByRange("term", "asset_id")
+        .sortWithinPartitions("term", "asset_id")
+        .write.mode("overwrite")
+        .parquet(f"{folder}/terms")
+    )
+    totals = rows.groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words_n"))
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    return open_term_index(assets.sparkSession, folder)
+
+
+def open_term_index(spark: SparkSession, folder: str) -> TermIndex:
+    return TermIndex(spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/totals"))
+
+
+def _score(n: Column, mean: Column, words_n: Column, df: list[Column], tf: list[Column]) -> Column:
+    """BM25 over the terms, higher is better."""
+    length = words_n / mean
+
+    def part(d: Column, t: Column) -> Column:
+        idf = F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(MIN_IDF))
+        return idf * t * (K1 + 1) / (t + K1 * (1 - B + B * length))
+
+    return reduce(lambda a, b: a + b, [part(d, t) for d, t in zip(df, tf, strict=True)])
+
+
+def indexed_matches(index: TermIndex, terms: list[str], source_id: int | None = None) -> DataFrame:
+    """(asset_id, score) of the assets holding every prefix term, from the stored index alone.
+
+    The prefixes go to the scan; what is read and aggregated grows with the assets that hold one.
+    """
+    one = F.lit(True) if source_id is None else F.col("source_id") == source_id
+    starts = [F.col("term").startswith(t) for t in terms]
+    places = range(len(terms))
+    rows = index.terms.filter(reduce(lambda a, b: a | b, starts) & one)
+    per = rows.groupBy("asset_id").agg(
+        F.first("words_n").alias("words_n"),
+        *[F.coalesce(F.sum(F.when(s, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, s in zip(places, starts, strict=True)],
+    )
+    held = [F.col(f"tf{i}") > 0 for i in places]
+    counts = per.agg(F.struct(*[F.count_if(h).alias(f"df{i}") for i, h in zip(places, held, strict=True)])).scalar()
+    totals = index.totals.filter(one).agg(
+        F.struct(F.sum("n").alias("n"), (F.sum("words_n") / F.sum("n")).alias("mean"))).scalar()
+    known = per.filter(reduce(lambda a, b: a & b, held)).withColumns({"s": counts, "t": totals})
+    score = _score(F.col("t.n"), F.col("t.mean"), F.col("words_n"),
+                   [F.col(f"s.df{i}") for i in places], [F.col(f"tf{i}") for i in places])
+    return known.select("asset_id", score.alias("score"))
+
+
 def text_matches(assets: DataFrame, terms: list[str]) -> DataFrame:
-    """Assets holding every prefix term, with their BM25 score (higher is better).
+    """Assets holding every prefix term, with their BM25 score, without a stored index.
 
     Term counts are worked out inside each row; only row counts, the mean length and one document
     frequency per term are aggregated, so nothing but the result is shuffled.
     """
     words = F.concat(*[search_tokens(F.col(c)) for c in ("name", "stem", "rel_path")])
     rows = assets.withColumn("words", words)
+    places = range(len(terms))
 
     def frequency(term: str) -> Column:
         return F.size(F.filter("words", lambda w: w.startswith(term)))
@@ -51,23 +116,15 @@ def text_matches(assets: DataFrame, terms: list[str]) -> DataFrame:
         F.struct(
             F.count("*").alias("n"),
             F.avg("words_n").alias("mean"),
-            *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
+            *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in places],
         ).alias("s")
     )
     scored = counted.filter(
-        reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+        reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in places])
     ).withColumn("s", stats.scalar())
-    n, length = F.col("s.n"), F.col("words_n") / F.col("s.mean")
-
-    def part(i: int) -> Column:
-        df, tf = F.col(f"s.df{i}"), F.col(f"tf{i}")
-        idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF))
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-
-    score = reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])
-    return scored.withColumn("score", score).drop(
-        "s", "words_n", *[f"tf{i}" for i in range(len(terms))]
-    )
+    score = _score(F.col("s.n"), F.col("s.mean"), F.col("words_n"),
+                   [F.col(f"s.df{i}") for i in places], [F.col(f"tf{i}") for i in places])
+    return scored.withColumn("score", score).drop("s", "words_n", *[f"tf{i}" for i in places])
 
 
 def search(
@@ -79,11 +136,17 @@ def search(
     unused_only: bool = False,
     sort: str | None = None,
     limit: int | None = None,
+    index: TermIndex | None = None,
 ) -> DataFrame:
-    """Catalogue search: text and filters choose the rows, then they are ordered and cut if asked."""
+    """Catalogue search: text and filters choose the rows, then they are ordered and cut if asked.
+
+    With a stored ``index`` of these assets the terms are looked up there.
+    """
     q = q.strip()
     terms = query_terms(q) if len(q) >= 2 else []
-    if terms:
+    if terms and index is not None:
+        rows = assets.join(indexed_matches(index, terms), "asset_id")
+    elif terms:
         rows = text_matches(assets, terms)
     else:
         rows = assets.filter(_like(q)) if q else assets
