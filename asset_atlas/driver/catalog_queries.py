@@ -386,7 +386,9 @@ def source_listing(spark, d):
 def _sorted_page(sort):
     def run(spark, d):
         rows = assets_part(spark, d).orderBy(*C.sort_keys(sort)).limit(40)
-        return rows.select("asset_id", "name", "size", "mtime")
+        page = rows.select("asset_id", "name", "size", "mtime")
+        # a limited sort comes in one part, so the running id is the place in the order
+        return page.withColumn("position", F.monotonically_increasing_id() + 1)
 
     return run
 
@@ -398,7 +400,8 @@ for _sort in C.SORTS:
         f"grid_sort_{_column}_{_direction}",
         with_views(
             ASSETS_PART,
-            body=f"SELECT asset_id, name, size, mtime FROM assets_part ORDER BY {_order} LIMIT 40",
+            body=f"""SELECT asset_id, name, size, mtime, row_number() OVER (ORDER BY {_order}) AS position
+            FROM assets_part ORDER BY {_order} LIMIT 40""",
         ),
     )(_sorted_page(_sort))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as FP
+from ..operators import catalog as C
 from ..operators import clusters as K
 from ..operators import detail as D
 from ..operators import match as M
@@ -197,6 +198,25 @@ def near_histogram(spark, d):
     return K.near_histogram(K.near_pairs(_phash(spark, d)), bins=30)
 
 
+@query(
+    "overview_near",
+    _recursive(
+        ASSETS_VEC, VEC_PAIRS, GRAPH,
+        """same AS (SELECT content_hash AS key, count(*) AS k FROM assets_vec GROUP BY 1 HAVING count(*) > 1),
+        alike AS (SELECT stem AS key, count(*) AS k FROM assets_vec GROUP BY 1 HAVING count(*) > 1)""",
+        body="""SELECT (SELECT count(*) FROM assets_vec) AS total_assets, (SELECT count(*) FROM same) AS duplicate_groups,
+        (SELECT count(*) FROM alike) AS name_clusters, (SELECT count(*) FROM medoids WHERE size > 1) AS near_clusters,
+        (SELECT CAST(coalesce(sum((k - 1) * 1024), 0) AS BIGINT) FROM same) AS reclaimable_bytes""",
+    ),
+)
+def overview_near(spark, d):
+    """The overview with all three kinds of clusters, fingerprints included."""
+    a = assets_vec(spark, d)
+    clusters = K.hash_clusters(a).unionByName(K.name_clusters(a)).unionByName(_phash(spark, d))
+    return C.overview(a, usages_lab(spark, d), clusters).select(
+        "total_assets", "duplicate_groups", "name_clusters", "near_clusters", "reclaimable_bytes")
+
+
 # --- matching ------------------------------------------------------------------------------------
 
 EXACT = """exact AS (SELECT q.asset_id AS query_id, a.asset_id, CAST(row_number() OVER (PARTITION BY q.asset_id

@@ -19,10 +19,13 @@ from .views import (
     ASSETS_PART,
     CODE_CSS,
     CODE_HTML,
+    EVENT_COLOR,
+    EVENT_COLOR_SPARK,
     STYLE_COLOR,
     STYLE_TYPE,
     assets_doc,
     assets_part,
+    by_file,
     code_css,
     code_html,
     style_color,
@@ -208,6 +211,58 @@ def type_extraction(spark, d):
     return extract_styles(code_css(spark, d), "type").selectExpr(*HIT_COLUMNS, "axis")
 
 
+# lines of components: utilities in brackets and by name, literals of scripts and markup, families that
+# the guard lets pass or not
+PART_LINE = f"""case event_type
+  when 'click' then concat('<a className="text-[', upper({EVENT_COLOR}), '] p-4" />')
+  when 'purchase' then '<b className="bg-red-500 font-bold text-lg" />'
+  when 'signup' then concat('const s = {{ color: ', chr(39), {EVENT_COLOR}, chr(39), ', fontSize: ', user_id % 90, ' }};')
+  when 'view' then concat('const f = {{ fontFamily: ', case when user_id % 2 = 0 then concat(chr(39), 'Fam', user_id, chr(39))
+    else concat('base', user_id) end, ' }};')
+  else concat('<path fill="', {EVENT_COLOR}, '" />') end"""
+PART_CODE = f"""part_lines AS (SELECT CAST(floor(event_id / 50) AS BIGINT) AS file, event_id, user_id, event_type,
+  {PART_LINE} AS line, {EVENT_COLOR} AS color FROM events),
+part_numbered AS (SELECT *, 'f' || file || '.tsx' AS rel_path,
+  row_number() OVER (PARTITION BY file ORDER BY event_id) AS line_no,
+  coalesce(sum(length(line) + 1) OVER (PARTITION BY file ORDER BY event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_offset FROM part_lines)"""
+PART_COLORS = """SELECT *, 14 AS col, 'text-[' || upper(color) || ']' AS raw_token, color AS normalized_value,
+  'tailwind-arbitrary' AS context_kind, 'text' AS context_detail FROM part_numbered WHERE event_type = 'click'
+  UNION ALL SELECT *, 14, 'bg-red-500', NULL, 'tailwind-named', 'bg' FROM part_numbered WHERE event_type = 'purchase'
+  UNION ALL SELECT *, 20, color, color, 'js-literal', NULL FROM part_numbered WHERE event_type = 'signup'
+  UNION ALL SELECT *, 12, color, color, 'js-literal', NULL FROM part_numbered
+  WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view')"""
+PART_TYPES = """SELECT *, 25 AS col, 'font-bold' AS raw_token, NULL AS normalized_value, 'tailwind-named' AS context_kind,
+  'font' AS context_detail, 'weight' AS axis FROM part_numbered WHERE event_type = 'purchase'
+  UNION ALL SELECT *, 35, 'text-lg', NULL, 'tailwind-named', 'text', 'size' FROM part_numbered WHERE event_type = 'purchase'
+  UNION ALL SELECT *, 40, CAST(user_id % 90 AS VARCHAR), CAST(user_id % 90 AS VARCHAR), 'js-literal', 'fontSize', 'size'
+  FROM part_numbered WHERE event_type = 'signup'
+  UNION ALL SELECT *, 24, chr(39) || 'Fam' || user_id || chr(39), 'fam' || user_id, 'js-literal', 'fontFamily', 'family'
+  FROM part_numbered WHERE event_type = 'view' AND user_id % 2 = 0"""
+
+
+def _components(spark, d):
+    """Fifty events make one component file, in event order."""
+    line = PART_LINE.replace(EVENT_COLOR, EVENT_COLOR_SPARK)
+    lines = table(spark, d, "events").selectExpr(
+        "cast(floor(event_id / 50) as bigint) as file", "event_id", f"{line} as line")
+    text = F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")
+    return by_file(lines, "file").groupBy("file").agg(text.alias("text")).selectExpr(
+        "1L as source_id", "concat('f', file, '.tsx') as rel_path", "concat('/repo/f', file, '.tsx') as abs_path",
+        "'tsx' as ext", "text")
+
+
+@query("component_colors", with_views(PART_CODE, body=HITS.format(axis="", parts=PART_COLORS)))
+def component_colors(spark, d):
+    return extract_styles(_components(spark, d), "color").selectExpr(*HIT_COLUMNS)
+
+
+@query("component_types", with_views(PART_CODE, body=HITS.format(axis=", axis", parts=PART_TYPES)))
+def component_types(spark, d):
+    return extract_styles(_components(spark, d), "type").selectExpr(*HIT_COLUMNS, "axis")
+
+
 SVG_TEXT = (
     "concat('<svg viewBox=\"0 0 ', p_size, ' ', p_size, '\"><path fill=\"', "
     "case when p_size > 25 then 'none' else '#ABC' end, '\" d=\"M0 0L', p_size, ' 1Z\" stroke-width=\"', "

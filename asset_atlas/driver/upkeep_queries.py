@@ -16,6 +16,7 @@ from ..plans import actions as A
 from ..plans import rename as R
 from ..schemas import ASSETS
 from ..session import new_folder
+from ..sources.sinks import run_stage
 from ..streaming.ingest import compact, duplicate_alerts, latest_alerts, read_assets, start_arrival_alerts, write_batch
 from .catalog_queries import HASH_DOC, HASH_PART, NAME_PART
 from .views import (
@@ -295,6 +296,26 @@ def stage_metrics(spark, d):
     )
 
 
+@query(
+    "stage_rebuild",
+    """SELECT event_type AS kind, user_id % 3 AS source_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events
+    WHERE event_type NOT IN ('click', 'view') OR user_id % 3 <> 1 GROUP BY ALL
+    UNION ALL SELECT 'click', 1, count(*), CAST(sum(event_id + 1) AS BIGINT) FROM events
+    WHERE event_type = 'click' AND user_id % 3 = 1""",
+)
+def stage_rebuild(spark, d):
+    """A stage replaces the partitions named out of the table it reads, empties one, and leaves the others."""
+    path = f"{new_folder(spark, 'stages')}"
+    rows = table(spark, d, "events").selectExpr("event_id", "event_type as kind", "user_id % 3 as source_id")
+    kinds = ["click", "view", "purchase", "signup", "error"]
+    run_stage(spark, "all", lambda: rows, path, [0, 1, 2], kinds)
+    again = spark.read.parquet(path).filter("kind = 'click' and source_id = 1").withColumn("event_id", F.expr("event_id + 1"))
+    run_stage(spark, "one", lambda: again, path, [1], ["click", "view"])
+    stored = spark.read.parquet(path)
+    return stored.groupBy("kind", F.col("source_id").cast("long").alias("source_id")).agg(
+        F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(
     "usage_path_backfill",
     """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN '/kept/' || o_orderkey WHEN o_orderstatus = 'F'

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import hamming_bits
@@ -18,26 +18,27 @@ MAX_ROUNDS = 200
 CLAIM_TABLES = 16
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Written edges with their number and a sum of hashes, both taken in the writing pass."""
+    seen = Observation()
+    whole = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    table = stored(edges.observe(seen, F.count("*").alias("n"), whole.alias("h")), "components")
+    return table, (seen.get["n"], seen.get["h"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every endpoint; component is the smallest node id in it.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Only minima are
     aggregated per node, never neighbour lists, so a hub costs no more than its edges.
     """
-    work = stored(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .filter("u <> v")
-        .distinct(),
-        "components",
-    )
+    start = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    work, state = _counted(start)
     before = None
     for _ in range(MAX_ROUNDS):
-        state = work.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if before == (state["n"], state["h"]):
+        if before == state:
             break
-        before = (state["n"], state["h"])
+        before = state
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (
@@ -55,7 +56,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         )
-        last, work = work, stored(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
+        last = work
+        work, state = _counted(small.select("e.u", "e.v").filter("u <> v").distinct())
         discard(last)
     else:
         raise RuntimeError("components did not converge")
