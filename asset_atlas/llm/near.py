@@ -8,7 +8,8 @@ registers miss a pair at 0.8 with a chance under 1e-7.
 
 Texts of the same words are one node from the start. In a band's bucket, members are first held
 against its two leaders, the most central node and the one of the smallest id, so a bucket of K copies costs
-2 K candidates; buckets whose members then share a class are done. Of the pairs left between
+2 K candidates; buckets whose members then share a class are done. Buckets of several classes are held
+against further leaders, drawn anew in each round, as long as that joins classes. Of the pairs left between
 different classes those are formed whose rarest and own shingles allow a link. Every candidate whose
 numbers of shingles allow a link is verified on its texts. A link is a set Jaccard of 0.8 or more;
 classes are the connected components of the links.
@@ -40,6 +41,8 @@ SHINGLE_BLOCK = "block bigint, nodes array<bigint>, n bigint, doc binary, hash b
 SIMILARITY = 0.8
 #: open texts that hold a rare shingle at most
 FEW = 32
+#: rounds of drawn leaders at most; whatever they leave is tested pair by pair
+DRAWN_TURNS = 4
 REGISTERS = 128
 BANDS = 32
 
@@ -266,6 +269,21 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
     return found
 
 
+def _drawn_leader_pairs(nodes: DataFrame, members: DataFrame, label: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """In buckets that hold several classes still: each member against the bucket's leader of this turn.
+
+    Leaders are drawn by the hash of the node and the turn, so one node leads most buckets it is in and
+    a bucket of K members costs K candidates at most.
+    """
+    drawn = F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node").alias("node"), F.col("class").alias("class"))
+    classed = members.join(label, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class"))
+    heads = classed.groupBy("key").agg(
+        F.min("class").alias("a"), F.max("class").alias("b"), F.max(drawn).alias("lead")).filter("a <> b")
+    both = classed.join(heads.select("key", F.col("lead.node").alias("v"), F.col("lead.class").alias("w")), "key")
+    pairs = both.filter("class <> w").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    return pairs.join(tested, ["u", "v"], "left_anti")
+
+
 def _other_pairs(nodes: DataFrame, members: DataFrame, label: DataFrame, tested: DataFrame, texts: DataFrame,
                  least: float) -> DataFrame:
     """Pairs of texts in open buckets, of different classes and not tested yet, that could be links.
@@ -346,13 +364,26 @@ def classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> D
     tested = stored(_leader_pairs(members), "near-pairs")
     links = checked(tested)
     label = stored(connected_components(links), "near-classes")
+
+    def merged(more: DataFrame) -> DataFrame:
+        # classes found so far stand for their links
+        stars = label.filter("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
+        return stored(connected_components(stars.unionByName(more)), "near-classes")
+
+    for turn in range(DRAWN_TURNS):
+        drawn = stored(_drawn_leader_pairs(nodes, members, label, tested, turn), "near-pairs")
+        if drawn.isEmpty():
+            break
+        tested = tested.unionByName(drawn)
+        more = checked(drawn)
+        if more.isEmpty():
+            break
+        label = merged(more)
     rest = stored(_other_pairs(nodes, members, label, tested, texts, least), "near-pairs")
     if not rest.isEmpty():
         more = checked(rest)
         if not more.isEmpty():
-            # classes found so far stand for their links
-            stars = label.filter("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
-            label = stored(connected_components(stars.unionByName(more)), "near-classes")
+            label = merged(more)
     discard(members)
     placed = nodes.join(label, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("class"))
     named = stored(rows.filter("s1 is not null").select("_doc", "_sum", "s1", "s2").join(placed, ["s1", "s2"]), "near-named")
