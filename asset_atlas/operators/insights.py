@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.color import NEAR_MISS, lab65
 from ..functions.names import percent_text
 from ..session import cut
-from .catalog import top_asset_dirs
+from .catalog import global_positions, top_asset_dirs
 from .simjoin import MAX_LIGHTNESS_WEIGHT, with_delta_e
 
 # How strongly a context speaks for a brand colour.
@@ -103,14 +103,23 @@ def type_coverage(styles: DataFrame) -> DataFrame:
 
 
 def type_scale(stats: DataFrame) -> DataFrame:
-    """Values with their place in the scale: sizes and weights by number, the rest by use."""
+    """Values with their place in the scale: sizes and weights by number, the rest by use.
+
+    Places come from one total order in range chunks, less the first place of the (source, axis); so
+    an axis with very many values is not sorted by one task.
+    """
     numeric = F.col("axis").isin("size", "weight")
-    order = Window.partitionBy("source_id", "axis").orderBy(
-        F.when(numeric, F.col("value").try_cast("double")),
-        F.when(~numeric, -F.col("usage_count")),
-        "value",
-    )
-    return stats.withColumn("position", F.row_number().over(order))
+    group = ["source_id", "axis"]
+    keyed = stats.withColumns({
+        "_number": F.when(numeric, F.col("value").try_cast("double")),
+        "_use": F.when(~numeric, -F.col("usage_count")),
+    })
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = global_positions(keyed, [*group, "_number", "_use", "value"], parts)
+    first = placed.groupBy(*group).agg(F.min("pos").alias("_first"))
+    return placed.join(first, group).withColumn(
+        "position", (F.col("pos") - F.col("_first") + 1).cast("int")
+    ).drop("pos", "_first", "_number", "_use")
 
 
 def mixed_spellings(stats: DataFrame) -> DataFrame:
