@@ -65,6 +65,12 @@ FROM q
 """
 
 
+def _account(code: str, n: int) -> str:
+    """An account of one country, of ``n`` characters in groups of four."""
+    left = (n - 4) % 4
+    return rf"{code}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{left}}}" if left else "")
+
+
 def pii_sql() -> str:
     # the same languages as the Spark patterns, without the devices that keep those linear
     patterns = {
@@ -72,7 +78,10 @@ def pii_sql() -> str:
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+        "iban": "|".join(
+            [_account(code, n) for n, codes in pii.IBAN_LENGTHS.items() for code in codes.split()]
+            + [r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"]
+        ),
     }
     parts = " UNION ALL ".join(
         f"SELECT rid, {i} AS kind, unnest(range(len(m))) AS i, unnest(m) AS match, unnest(p[:len(m)]) AS gap "
