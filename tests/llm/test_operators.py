@@ -164,6 +164,38 @@ def test_decontamination(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_edited_copies_of_items_are_found(spark):
+    """Recall on near copies, against the similarity of all item-sized windows."""
+    rng = random.Random(14)
+    items = [(i, " ".join(f"t{rng.randrange(5000)}" for _ in range(rng.randint(70, 130)))) for i in range(60)]
+    docs = []
+    for i in range(180):
+        w = items[i % 60][1].split()
+        for _ in range(i % 3):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [f"x{i}"], [w[k], f"y{i}"]])
+        noise = [f"n{rng.randrange(5000)}" for _ in range(rng.randint(0, 80))]
+        at = rng.randint(0, len(noise))
+        docs.append((i, " ".join(noise[:at] + w + noise[at:])))
+
+    def grams(w):
+        return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+    want = set()
+    for i, text in docs:
+        own = grams(items[i % 60][1].split())
+        w, size = text.split(), len(items[i % 60][1].split())
+        best = max((own & g).total() / (own | g).total() for g in (grams(w[k : k + size]) for k in range(max(1, len(w) - size + 1))))
+        if best >= decontam.SIMILARITY:
+            want.add((i, i % 60))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(want) > 100 and got <= want
+    # the radius holds a window at the similarity with 99.9 %
+    assert len(got & want) >= 0.99 * len(want)
+
+
 def test_hamming_tables_miss_nothing():
     rng = random.Random(6)
     index = decontam.build_index([(i, " ".join(f"t{rng.randrange(300)}" for _ in range(20))) for i in range(30)])
