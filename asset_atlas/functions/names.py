@@ -9,20 +9,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Variant words a stem may end in.
-STYLE_SUFFIXES = (
-    "outline filled bold regular duotone sm md lg xl xxl 16 20 24 28 32 40 48 56 64 "
-    "circle square solid light thin rounded"
-).split()
+STYLE_SUFFIXES = [
+    "outline", "filled", "bold", "regular", "duotone", "sm", "md", "lg", "xl", "xxl", "16", "20", "24",
+    "28", "32", "40", "48", "56", "64", "circle", "square", "solid", "light", "thin", "rounded",
+]
 
 # Words that say nothing about what an image shows.
-STOPWORDS = (
-    "icon ic img image asset logo pic filled fill outline outlined solid stroke regular bold "
-    "light thin duotone twotone sm md lg xl xxs xs xxl small medium large circle square rounded "
-    "round sharp active inactive disabled hover pressed default primary secondary tertiary red "
-    "green blue yellow black white gray grey orange purple pink brown cyan magenta dark color "
-    "colored mono monochrome colour padded padding margin new old legacy v1 v2 v3 bg fg alt copy "
-    "vertical horizontal left right top bottom up down"
-).split()
+STOPWORDS = [
+    "icon", "ic", "img", "image", "asset", "logo", "pic", "filled", "fill", "outline", "outlined",
+    "solid", "stroke", "regular", "bold", "light", "thin", "duotone", "twotone", "sm", "md", "lg", "xl",
+    "xxs", "xs", "xxl", "small", "medium", "large", "circle", "square", "rounded", "round", "sharp",
+    "active", "inactive", "disabled", "hover", "pressed", "default", "primary", "secondary", "tertiary",
+    "red", "green", "blue", "yellow", "black", "white", "gray", "grey", "orange", "purple", "pink",
+    "brown", "cyan", "magenta", "dark", "color", "colored", "mono", "monochrome", "colour", "padded",
+    "padding", "margin", "new", "old", "legacy", "v1", "v2", "v3", "bg", "fg", "alt", "copy", "vertical",
+    "horizontal", "left", "right", "top", "bottom", "up", "down",
+]
 
 # Pixel sizes that count as icon sizes.
 PIXEL_SIZES = [8, 10, 12, 14, 16, 18, 20, 24, 28, 32, 36, 40, 48, 56, 64, 72, 96, 128, 256]

@@ -19,9 +19,10 @@ from ..operators.text import in_size
 from ..session import cut, new_folder
 
 # Text files searched for references.
-CODE_EXTENSIONS = (
-    "ts tsx js jsx mjs cjs vue svelte astro html htm css scss sass less styl json md mdx yml yaml"
-).split()
+CODE_EXTENSIONS = [
+    "ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "svelte", "astro", "html", "htm", "css", "scss",
+    "sass", "less", "styl", "json", "md", "mdx", "yml", "yaml",
+]
 #: raster formats Spark's image source decodes
 DECODABLE = ["png", "jpg", "jpeg", "gif"]
 DEFAULT_IGNORE = [r"(?:^|/)node_modules/", r"(?:^|/)\.[^/]+"]
