@@ -331,6 +331,38 @@ def match_buckets(spark, d):
     )
 
 
+@query(
+    "reader_threshold",
+    with_views(
+        *ALL_BUCKETS,
+        body="""SELECT b.query_id, b.bucket, b.asset_id, b.rank FROM buckets b LEFT JOIN near n
+        ON n.query_id = b.query_id AND n.asset_id = b.asset_id WHERE b.bucket <> 'near' OR n.hamming <= 18""",
+    ),
+)
+def reader_threshold(spark, d):
+    """A reader's own, tighter limit on the near bucket."""
+    return M.within(_match(spark, d), 18).select("query_id", "bucket", "asset_id", "rank")
+
+
+@query(
+    "hamming_missing",
+    with_views(
+        ASSETS_VEC,
+        body="""SELECT a.asset_id, CAST(CASE WHEN quality IS NULL OR quality = 0 THEN 64
+        ELSE bit_count(xor(a.bits, b.bits)) END AS INT) AS hamming FROM assets_vec a
+        JOIN (SELECT ext, min(asset_id) AS first FROM assets_vec GROUP BY 1) f USING (ext)
+        JOIN assets_vec b ON b.asset_id = f.first LEFT JOIN labels ON doc_id = a.asset_id""",
+    ),
+)
+def hamming_missing(spark, d):
+    """Distance to the first asset of a type; 64 where a fingerprint is missing or damaged."""
+    label = table(spark, d, "labels").selectExpr("doc_id as asset_id", "quality")
+    known = assets_vec(spark, d).select("asset_id", "ext", "phash").join(label, "asset_id", "left")
+    first = known.groupBy("ext").agg(F.min_by("phash", "asset_id").alias("first"))
+    held = F.when(F.col("quality") == 1, F.col("phash")).when(F.col("quality") == 0, F.substring("phash", 1, 9))
+    return known.join(first, "ext").select("asset_id", FP.hamming(held, F.col("first")).cast("int").alias("hamming"))
+
+
 @query(
     "merged_matches",
     with_views(
